@@ -76,7 +76,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def map_batches(df: DataFrame, fn, schema: str, rows: int = 512) -> DataFrame:
+def map_batches(df: DataFrame, fn, schema: str, rows: int = 1024) -> DataFrame:
     """mapInArrow of fn(RecordBatch) -> RecordBatch over slices of at most `rows` rows, so memory follows the slice."""
     ship(df.sparkSession)
 
@@ -90,3 +90,11 @@ def map_batches(df: DataFrame, fn, schema: str, rows: int = 512) -> DataFrame:
 
 def dtype(df: DataFrame, name: str) -> str:
     return df.schema[name].dataType.simpleString()
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table that materialize() wrote, once nothing reads it any more."""
+    spark = df.sparkSession
+    for f in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keystrata.llm import byte_bpe, orc_tokens, packing
+from keystrata.llm import byte_bpe, orc_tokens, packing, substrings
 from keystrata.llm.common import documents, scratch
 
 
@@ -32,9 +32,15 @@ def op8_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substrings.deduplicate(documents(spark, sf_dir))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_orc_tokens": op4_orc_tokens,
     "op5_byte_bpe": op5_byte_bpe,
     "op8_best_fit": op8_best_fit,
+    "op10_substrings": op10_substrings,
 }
 SQL: dict[str, str] = {}
