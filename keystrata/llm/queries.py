@@ -8,8 +8,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keystrata.llm import byte_bpe, orc_tokens, packing, substrings
-from keystrata.llm.common import documents, scratch
+from keystrata.llm import byte_bpe, exact, orc_tokens, packing, substrings
+from keystrata.llm.common import documents, scratch, text_of
+
+
+def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).withColumn("text_sha256", F.sha2(text_of().cast("binary"), 256))
+    return exact.deduplicate(docs, columns=["doc_id", "text_sha256"])
 
 
 def op4_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,9 +43,16 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_exact_dedup": op3_exact_dedup,
     "op4_orc_tokens": op4_orc_tokens,
     "op5_byte_bpe": op5_byte_bpe,
     "op8_best_fit": op8_best_fit,
     "op10_substrings": op10_substrings,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op3_exact_dedup": """
+        SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+               doc_id = max(doc_id) OVER same AS kept, sha256(t) AS text_sha256
+        FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents) WINDOW same AS (PARTITION BY t)
+    """,
+}

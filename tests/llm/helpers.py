@@ -19,9 +19,9 @@ def rows(n=60, seed=7, words=40):
     return out
 
 
-def hard(n=60, seed=7):
+def hard(n=60, seed=7, words=40):
     """rows() with null and empty texts, a null id, a repeated id, repeated rows and a very long text."""
-    out = rows(n, seed)
+    out = rows(n, seed, words)
     out[5][1] = None
     out[6][1] = ""
     out[7][0] = None
