@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keystrata.llm import byte_bpe, exact, orc_tokens, packing, substrings
+from keystrata.llm import bagminhash, byte_bpe, exact, orc_tokens, packing, substrings
 from keystrata.llm.common import documents, scratch, text_of
 
 
@@ -33,6 +33,10 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bagminhash.deduplicate(documents(spark, sf_dir), columns=["doc_id"])
+
+
 def op8_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -46,6 +50,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_exact_dedup": op3_exact_dedup,
     "op4_orc_tokens": op4_orc_tokens,
     "op5_byte_bpe": op5_byte_bpe,
+    "op7_bagminhash": op7_bagminhash,
     "op8_best_fit": op8_best_fit,
     "op10_substrings": op10_substrings,
 }
