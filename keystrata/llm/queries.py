@@ -8,10 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keystrata.llm import bagminhash, byte_bpe, exact, orc_tokens, packing, substrings
+from keystrata.llm import bagminhash, byte_bpe, exact, iblt, orc_tokens, packing, substrings, token_counts
 from keystrata.llm.common import documents, scratch, text_of
 
 
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return iblt.fingerprints(documents(spark, sf_dir))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).withColumn("text_sha256", F.sha2(text_of().cast("binary"), 256))
     return exact.deduplicate(docs, columns=["doc_id", "text_sha256"])
@@ -41,17 +45,23 @@ def op8_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substrings.deduplicate(documents(spark, sf_dir))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_fingerprints": op2_fingerprints,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_orc_tokens": op4_orc_tokens,
     "op5_byte_bpe": op5_byte_bpe,
     "op7_bagminhash": op7_bagminhash,
     "op8_best_fit": op8_best_fit,
+    "op9_token_counts": op9_token_counts,
     "op10_substrings": op10_substrings,
 }
 SQL: dict[str, str] = {
