@@ -8,10 +8,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keystrata.llm import bagminhash, byte_bpe, exact, iblt, orc_tokens, packing, substrings, token_counts
+from keystrata.llm import bagminhash, byte_bpe, exact, iblt, orc_tokens, packing, quality, substrings, token_counts
 from keystrata.llm.common import documents, scratch, text_of
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.score(docs.select("doc_id", "text"), model).select("doc_id", quality.held_out().alias("held_out"), "score", "predicted")
+
+
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return iblt.fingerprints(documents(spark, sf_dir))
 
@@ -55,6 +61,7 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_rules": op1_quality_rules,
     "op2_fingerprints": op2_fingerprints,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_orc_tokens": op4_orc_tokens,
