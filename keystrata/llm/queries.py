@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keystrata.llm import bagminhash, byte_bpe, exact, iblt, orc_tokens, packing, quality, substrings, token_counts
+from keystrata.llm import bagminhash, byte_bpe, exact, iblt, orc_tokens, packing, pii, quality, substrings, token_counts
 from keystrata.llm.common import documents, scratch, text_of
 
 
@@ -43,6 +44,13 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    found = pii.spans(docs, pii.train(docs)).select("doc_id", "base", "added")
+    counts = [F.size(F.filter("base", partial(lambda k, c: c["kind"] == k, k))).cast("long").alias(f"n_{k}") for k in pii.BASE]
+    return found.select("doc_id", *counts, F.sha2(pii.joined(F.col("base")), 256).alias("base_sha256"), pii.joined(F.concat("base", "added")).alias("spans"))
+
+
 def op7_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bagminhash.deduplicate(documents(spark, sf_dir), columns=["doc_id"])
 
@@ -66,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_exact_dedup": op3_exact_dedup,
     "op4_orc_tokens": op4_orc_tokens,
     "op5_byte_bpe": op5_byte_bpe,
+    "op6_pii": op6_pii,
     "op7_bagminhash": op7_bagminhash,
     "op8_best_fit": op8_best_fit,
     "op9_token_counts": op9_token_counts,
