@@ -1,6 +1,35 @@
-"""Every query of the engine by name, with DuckDB SQL for its result."""
+"""Every query of the engine by name, with DuckDB SQL for its result where SQL can express it."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+from importlib import import_module
+
+from pyspark.sql import DataFrame, SparkSession
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a query, and the SQL that it must agree with."""
+
+    def put(f: Query) -> Query:
+        if name in QUERIES:
+            raise ValueError(f"two queries are called {name}")
+        QUERIES[name] = f
+        if sql:
+            SQL[name] = sql
+        return f
+
+    return put
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+for _family in ("store", "filters", "joins", "aggregates", "windows", "sets", "scalars", "series", "transactions", "graphs", "sketches", "objects"):
+    import_module(f"keystrata.plans.{_family}")
