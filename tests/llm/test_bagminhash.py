@@ -85,8 +85,9 @@ def test_classes_equal_brute_force(spark):
     assert all(r.class_size == sizes[r.class_id] for r in got)
 
 
-def test_members_that_the_leader_misses(spark):
-    """One band of one row: buckets hold unlike documents, so further leaders must find every link among them."""
+def test_members_that_the_leader_misses(spark, monkeypatch):
+    """One band of one row: buckets hold unlike documents, so blocks of a family must find every link among them."""
+    monkeypatch.setattr(b, "MEETING", 1500)
     texts = varied(48, 30, 9)
     data = [[i, t, "en", "s", len(t), None, 1] for i, t in enumerate(texts)]
     got = b.deduplicate(table(spark, data), bands=8, rows=1).collect()
