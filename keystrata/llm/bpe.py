@@ -12,12 +12,14 @@ import json
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Segments that a worker remembers before it starts anew, and the longest that it remembers.
-MEMO, LONGEST = 400_000, 48
+MEMO, LONGEST = 800_000, 48
 _SIGNS = frozenset(".,;:!?")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
-_ODD = re.compile(r"\s\s|^\s|\s\Z")
+_ODD = r"[\s\v\pZ\x{85}\x{1c}-\x{1f}][\s\v\pZ\x{85}\x{1c}-\x{1f}]"
 
 
 def byte_chars() -> dict[int, str]:
@@ -100,11 +102,6 @@ class Encoder:
         self.marks = np.array([x.startswith("\u0120") if spaced else x.endswith("</w>") for x in names])
         tokenizer.model._resize_cache(0)  # the memo does its work
 
-    def cut(self, text: str) -> list[str]:
-        if self.spaced and _ODD.search(text):
-            return _CUT.split(text)
-        return text.split(" ")
-
     def ids(self, text: str) -> np.ndarray:
         return np.array(self.t.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
@@ -145,34 +142,57 @@ class Encoder:
                 got[s] = self.one(lead + s)
         return got
 
-    def encode(self, texts: list[str]) -> list[list[bytes]]:
-        """For each text the ids of its segments; joined, they are the text's ids."""
-        memo, heads = self.memo, self.heads
-        cuts = [self.cut(x) for x in texts]
-        seen: set[str] = set()
-        for c in cuts:
-            seen.update(c)
-        extra = self.learn([s for s in seen - memo.keys()])
-        if len(memo) < MEMO:
-            memo.update((s, b) for s, b in extra.items() if len(s) <= LONGEST)
-        if len(heads) > MEMO // 10:
-            heads.clear()
-        find, out = memo.get, []
-        for c in cuts:
-            got = [find(s) for s in c]
-            if None in got:
-                got = [extra[s] if b is None else b for s, b in zip(c, got, strict=True)]
-            if self.spaced:  # the first has no space before it
-                head = c[0]
-                if len(head) > LONGEST:
-                    got[0] = self.one(head)
-                elif (b := heads.get(head)) is None:
-                    got[0] = heads[head] = self.one(head)
-                else:
-                    got[0] = b
-            out.append(got)
+    def known(self, segments: list[str]) -> list[bytes]:
+        memo = self.memo
+        got = list(map(memo.get, segments))
+        new = [i for i, b in enumerate(got) if b is None]
+        if new:
+            extra = self.learn([segments[i] for i in new])
+            for i in new:
+                got[i] = extra[segments[i]]
+            if len(memo) < MEMO:
+                memo.update((s, b) for s, b in extra.items() if len(s) <= LONGEST)
+        return got
+
+    def cut(self, texts: pa.Array) -> pa.ListArray:
+        """Segments of each text. Spaces next to other white space aren't edges for a tokenizer that keeps spaces."""
+        out = pc.split_pattern(texts, " ")
+        if self.spaced and (odd := pc.match_substring_regex(texts, _ODD)).true_count:
+            own = [_CUT.split(t) if o else None for t, o in zip(texts.to_pylist(), odd.to_pylist(), strict=True)]
+            out = pc.if_else(odd, pa.array(own, out.type), out)
         return out
 
+    def encode(self, texts: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """All texts' ids in a row, with `end` after each, and where each text's begin (and the last ends)."""
+        texts = texts.cast(pa.string())
+        lists = self.cut(pc.fill_null(texts, ""))
+        at = lists.offsets.to_numpy().astype("i8")
+        at -= at[0]
+        coded = lists.flatten().dictionary_encode()
+        words = coded.indices.to_numpy().astype("i4")
+        ids = self.known(coded.dictionary.to_pylist())
+        if self.spaced and len(words):  # a text's first segment has no space before it
+            heads = pc.list_element(lists, 0).dictionary_encode()
+            words[at[:-1]] = heads.indices.to_numpy() + len(ids)
+            for h in heads.dictionary.to_pylist():
+                if len(self.heads) > MEMO // 10:
+                    self.heads.clear()
+                if (b := self.heads.get(h)) is None:
+                    b = self.heads[h] = self.one(h) if h else b""
+                ids.append(b)
+        if end is not None:
+            words = np.insert(words, at[1:], len(ids))
+            at = at + np.arange(len(at))
+            ids.append(np.array([end], "<u4").tobytes())
+        sizes = np.fromiter(map(len, ids), "i4", len(ids)) // 4
+        starts = np.cumsum(sizes, dtype="i4") - sizes
+        n = sizes[words]
+        stops = np.concatenate([np.zeros(1, "i8"), np.cumsum(n)])
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        where = np.repeat(starts[words] - stops[:-1].astype("i4"), n)
+        where += np.arange(len(where), dtype="i4")
+        return flat[where], stops[at]
+
 
 _ENCODERS: dict[tuple, Encoder] = {}
 

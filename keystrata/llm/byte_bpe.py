@@ -38,15 +38,13 @@ def encode(docs: DataFrame, path: str, pattern: str | None = None, id_col: str =
         import pyarrow as pa
 
         e = encoder(path, pattern)
-        texts = batch.column(1).to_pylist()
-        joined = [b"".join(x) for x in e.encode(texts)]
-        ends = np.cumsum([0, *(len(x) // 4 for x in joined)]).astype("i4")
-        lists = [np.frombuffer(b"".join(joined), "<i4")]
+        ids, ends = e.encode(batch.column(1))
+        lists = [ids.view("i4")]
         if offsets:
             sizes = np.array([len(x) for x in token_bytes(e.t)])
-            pairs = [char_offsets(t, np.frombuffer(j, "<u4"), sizes) for t, j in zip(texts, joined, strict=True)]
+            pairs = [char_offsets(t, ids[a:b], sizes) for t, a, b in zip(batch.column(1).to_pylist(), ends, ends[1:])]
             lists += [np.concatenate([p[k] for p in pairs] or [np.zeros(0, "i4")]) for k in (0, 1)]
-        columns = [pa.ListArray.from_arrays(ends, x) for x in lists]
+        columns = [pa.ListArray.from_arrays(ends.astype("i4"), x) for x in lists]
         return pa.RecordBatch.from_arrays([batch.column(0), *columns], names=[id_col, "ids", "token_start", "token_end"][: 2 + 2 * offsets])
 
     more = ", token_start array<int>, token_end array<int>" if offsets else ""

@@ -30,25 +30,22 @@ CAPACITY = 2048
 
 def pieces(docs: DataFrame, path: str, end_id: int = 0, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 (and ids) of each document's pieces."""
-    end = np.array([end_id], "<u4").tobytes()
 
     def run(batch):
         import pyarrow as pa
 
-        owner, piece, start, length, crc, ids = [], [], [], [], [], []
-        for i, got in enumerate(encoder(path).encode(batch.column(1).to_pylist())):
-            raw = b"".join(got) + end
-            for k, a in enumerate(range(0, len(raw), 4 * capacity)):
-                part = raw[a : a + 4 * capacity]
-                owner.append(i)
-                piece.append(k)
-                start.append(a // 4)
-                length.append(len(part) // 4)
-                crc.append(zlib.crc32(part))
-                ids.append(part)
-        columns = [batch.column(0).take(pa.array(owner, pa.int32())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))]
-        if keep_ids:
-            columns.append(pa.ListArray.from_arrays(np.cumsum([0, *length]).astype("i4"), np.frombuffer(b"".join(ids), "<i4")))
+        flat, at = encoder(path).encode(batch.column(1), end_id)
+        size = np.diff(at)
+        n = -(-size // capacity)
+        owner = np.repeat(np.arange(len(size)), n)
+        piece = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        start = piece * capacity
+        length = np.minimum(size[owner] - start, capacity)
+        first = at[owner] + start
+        crc = [zlib.crc32(flat[a:b].data) for a, b in zip(first.tolist(), (first + length).tolist(), strict=True)]
+        columns = [batch.column(0).take(pa.array(owner)), pa.array(piece.astype("i4")), pa.array(start), pa.array(length), pa.array(crc, pa.int64())]
+        if keep_ids:  # pieces follow each other without a gap
+            columns.append(pa.ListArray.from_arrays(np.append(first, at[-1]).astype("i4"), flat.view("i4")))
         return pa.RecordBatch.from_arrays(columns, names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: len(columns)])
 
     schema = f"doc_id {dtype(docs, id_col)}, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<int>" * keep_ids

@@ -36,8 +36,18 @@ def test_byte_bpe_round_trip(spark):
 
 def test_rank_file_equals_merge_file(spark):
     a, b = bpe.encoder(P.path("byte_bpe_50k.json")), bpe.encoder(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
-    texts = [x[1] or "" for x in hard()]
-    assert a.encode(texts) == b.encode(texts)
+    import pyarrow as pa
+
+    odd = ["", " ", "  a", "a  ", " a b ", "a   b", "a\u00a0 b", "a \u00a0 b", "\x1c a\x1cb", "'s re don't", "0" * 300, "a\u0085 \tb", "x" * 90 + " y" * 3, "\u1680 a\u3000 "]
+    texts = [x[1] or "" for x in hard()] + odd
+    (x, at), (y, _) = a.encode(pa.array(texts)), b.encode(pa.array(texts))
+    assert x.tolist() == y.tolist()
+    for t, i, j in zip(texts, at, at[1:]):
+        assert x[i:j].tolist() == a.t.encode(t, add_special_tokens=False).ids, t
+    w = bpe.encoder(P.path("word_bpe_49k.json"))
+    z, at = w.encode(pa.array([*texts, "İSTANBUL'S o'clock.", None]))
+    for t, i, j in zip([*texts, "İSTANBUL'S o'clock.", ""], at, at[1:]):
+        assert z[i:j].tolist() == w.t.encode(t, add_special_tokens=False).ids, t
 
 
 def test_offsets_and_split_characters(spark):
