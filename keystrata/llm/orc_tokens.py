@@ -31,20 +31,17 @@ def write_tokens(docs: DataFrame, out: str, path: str, end_id: int = 2, id_col:
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")).withColumn("tie", F.xxhash64("text"))
     ordered = rows.repartitionByRange(n, "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").select("doc_id", F.spark_partition_id().alias("part"), "text")
-    end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
         import pyarrow as pa
 
         e, done = encoder(path), 0
         for whole in batches:
-            for a in range(0, whole.num_rows, 512):
-                batch = whole.slice(a, 512)
-                joined = [b"".join(x) + end for x in e.encode(batch.column(2).to_pylist())]
-                sizes = np.array([len(x) // 4 for x in joined], "i8")
-                ends = np.cumsum([0, *sizes])
-                ids = pa.ListArray.from_arrays(ends.astype("i4"), np.frombuffer(b"".join(joined), "<i4"))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ends[:-1] + done), pa.array(sizes), ids], names=["doc_id", "part", "start_in_part", "n_tokens", "ids"])
+            for a in range(0, whole.num_rows, 2048):
+                batch = whole.slice(a, 2048)
+                flat, ends = e.encode(batch.column(2), end_id)
+                ids = pa.ListArray.from_arrays(ends.astype("i4"), flat.view("i4"))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ends[:-1] + done), pa.array(np.diff(ends)), ids], names=["doc_id", "part", "start_in_part", "n_tokens", "ids"])
                 done += int(ends[-1])
 
     from keystrata.llm.common import ship
@@ -53,7 +50,7 @@ def write_tokens(docs: DataFrame, out: str, path: str, end_id: int = 2, id_col:
     kind = dtype(docs, id_col)
     (
         ordered.mapInArrow(run, _schema(kind))
-        .write.option("compression", "zstd").option("orc.stripe.size", str(16 << 20)).option("orc.row.index.stride", "2000")
+        .write.option("compression", "none").option("orc.stripe.size", str(16 << 20)).option("orc.row.index.stride", "2000")
         .option("orc.create.index", "true").option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01")
         .orc(out)
     )
@@ -66,10 +63,13 @@ def read_tokens(spark: SparkSession, out: str, kind: str = "bigint") -> DataFram
 
 
 def with_start(tokens: DataFrame) -> DataFrame:
-    """Adds start: the ids of all documents before one. Files' totals (a row a file) are summed; rows only add their file's."""
+    """Adds start: the ids of all documents before one. Files' totals are summed; rows only add their file's.
+
+    The totals have a row a file, and write_tokens() makes a file a partition: small enough to broadcast at any size.
+    """
     totals = tokens.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     before = totals.select("part", F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    return tokens.join(before, "part").withColumn("start", F.col("before") + F.col("start_in_part")).drop("before")
+    return tokens.join(F.broadcast(before), "part").withColumn("start", F.col("before") + F.col("start_in_part")).drop("before")
 
 
 def with_crc(rows: DataFrame, ids_col: str = "ids") -> DataFrame:
