@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -90,7 +91,6 @@ def apply_patch(doc, steps: list[dict]):
 
 def patch(df: DataFrame, column: str, steps: list[dict]) -> DataFrame:
     """df with status and reason, its JSON column patched where all steps apply (Arrow batches)."""
-    import pandas as pd
 
     def run(docs: pd.Series) -> pd.DataFrame:
         out = []

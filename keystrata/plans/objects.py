@@ -1,0 +1,55 @@
+"""Sources and wire formats: JSON values, XML dumps, metric rows, the object and request facade."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from keystrata.plans.registry import query, table
+
+
+@query("s20_json_encoding", "SELECT c_custkey, 'as_is' AS kind, c_name AS value, base64(encode(c_name)) AS binary_value FROM customer")
+def s20(spark, d):
+    """A value on the wire and back: text as it is, bytes as base64."""
+    from keystrata.sources.wire import decode, encode
+
+    rows = table(spark, d, "customer").withColumn("wire", encode(F.col("c_name")))
+    back = decode(F.col("wire"))
+    return rows.select("c_custkey", back["type"].alias("kind"), back["value"].alias("value"), F.base64(F.col("c_name").cast("binary")).alias("binary_value"))
+
+
+@query("s22_xml_dump", "SELECT n_nationkey AS id, n_name AS title FROM nation")
+def s22(spark, d):
+    """Pages of an XML dump that is written first."""
+    from keystrata.sources.dump import read_pages
+    from keystrata.sources.scratch import scratch
+
+    path = scratch(spark, "xml")
+    rows = table(spark, d, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("title"))
+    rows.write.format("xml").option("rootTag", "mediawiki").option("rowTag", "page").save(path)
+    return read_pages(spark, path, "id int, title string")
+
+
+@query("s25_record_store", "SELECT c_custkey AS k, c_acctbal AS field0 FROM customer WHERE c_custkey BETWEEN 5 AND 9")
+def s25(spark, d):
+    from keystrata.operators.store import in_range
+
+    return table(spark, d, "customer").filter(in_range("c_custkey", 5, 9)).select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("field0"))
+
+
+@query("x4_job_validation", "SELECT * FROM (VALUES ('bad_phase'), ('badfun'), ('bad_tag'), ('ok')) t(result)")
+def x4(spark, d):
+    """What jobs with a wrong phase, function or tag give."""
+    from keystrata.operators.mapreduce import Phase, problem
+
+    good = [Phase("reduce", F.sum("v"))]
+    jobs = [([Phase("fold", F.sum("v"))], {}), ([Phase("map_python", F.sum("v"), "k long")], {}), (good, {"tag": 3}), (good, {})]
+    return spark.createDataFrame([(problem(p, o) or "ok",) for p, o in jobs], "result string")
+
+
+@query("x7_crdt_functions", "SELECT event_type AS name, count(*) AS value FROM events GROUP BY 1")
+def x7(spark, d):
+    """Increments of two halves merged as counters of two replicas."""
+    from keystrata.operators import crdt
+
+    rows = table(spark, d, "events").select(F.col("event_type").alias("name"), (F.col("event_id") % 2).alias("replica"))
+    return crdt.counter_value(crdt.merge_counter(rows.groupBy("name", "replica").agg(F.count(F.lit(1)).alias("n"))))

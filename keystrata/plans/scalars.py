@@ -1,0 +1,198 @@
+"""Scalar functions: numbers, compare and set, vectors, time, lists, keys."""
+
+from __future__ import annotations
+
+import pandas as pd
+from pyspark.sql import functions as F
+
+from keystrata.functions import keys as ky
+from keystrata.functions import vectors as vc
+from keystrata.operators import lists as ls
+from keystrata.plans.filters import _flat, order_parts
+from keystrata.plans.registry import query, table
+
+LINES = "SELECT l_orderkey, list(l_partkey ORDER BY l_linenumber, l_partkey) AS p FROM lineitem GROUP BY l_orderkey"
+
+
+def parts(spark, d):
+    return order_parts(spark, d).withColumnRenamed("parts", "p")
+
+
+@query("c1_add_on_number", "SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN 0 ELSE c_acctbal END + 10 AS value, c_custkey % 5 = 0 AS created FROM customer")
+def c1(spark, d):
+    """A key without a number begins at 0."""
+    held = F.when(F.col("c_custkey") % 5 != 0, F.col("c_acctbal"))
+    return table(spark, d, "customer").select("c_custkey", (F.coalesce(held, F.lit(0.0)) + 10).alias("value"), held.isNull().alias("created"))
+
+
+@query("c2_increment", "SELECT event_id, CASE WHEN event_type = 'error' THEN 5 ELSE CAST(json_extract(props, '$.k') AS BIGINT) + 5 END AS value FROM events")
+def c2(spark, d):
+    """What isn't a whole number is replaced by the increment."""
+    k = F.when(F.col("event_type") != "error", F.get_json_object("props", "$.k").try_cast("long"))
+    return table(spark, d, "events").select("event_id", F.coalesce(k + 5, F.lit(5).cast("long")).alias("value"))
+
+
+@query("c3_test_and_set", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'O' THEN 'done' ELSE o_orderstatus END AS value, CASE WHEN o_orderstatus = 'O' THEN 'ok' ELSE 'key_changed' END AS status FROM orders")
+def c3(spark, d):
+    same = F.col("o_orderstatus").eqNullSafe("O")
+    return table(spark, d, "orders").select("o_orderkey", F.when(same, "done").otherwise(F.col("o_orderstatus")).alias("value"), F.when(same, "ok").otherwise("key_changed").alias("status"))
+
+
+@query(
+    "c4_numeric",
+    "SELECT l_orderkey, l_linenumber, round(pow(l_quantity, 3), 4) AS cube, round(ln(l_quantity) / ln(3), 6) AS log3, round(log2(l_quantity), 6) AS lg, round(ln(1 + l_tax), 6) AS l1p, floor(l_extendedprice / 7) AS down, ceil(l_extendedprice / 7) AS up FROM lineitem WHERE l_orderkey < 300",
+)
+def c4(spark, d):
+    q, e = F.col("l_quantity"), F.col("l_extendedprice") / 7
+    rows = table(spark, d, "lineitem").filter("l_orderkey < 300")
+    return rows.select("l_orderkey", "l_linenumber", F.round(F.pow(q, F.lit(3)), 4).alias("cube"), F.round(F.log(3.0, q), 6).alias("log3"), F.round(F.log2(q), 6).alias("lg"), F.round(F.log1p("l_tax"), 6).alias("l1p"), F.floor(e).cast("double").alias("down"), F.ceil(e).cast("double").alias("up"))
+
+
+@query("c5_number_theory", "SELECT p_partkey, p_size, gcd(p_partkey, p_size) AS divisor, CAST(factorial(p_size % 15) AS BIGINT) AS f, CAST(factorial(p_size % 15) / (factorial(p_size % 15 - least(p_size % 15, 4)) * factorial(least(p_size % 15, 4))) AS BIGINT) AS choose FROM part")
+def c5(spark, d):
+    n = F.col("p_size") % 15
+    return table(spark, d, "part").select("p_partkey", "p_size", vc.gcd(F.col("p_partkey"), F.col("p_size")).alias("divisor"), F.factorial(n).alias("f"), vc.binomial(n, F.least(n, F.lit(4))).cast("long").alias("choose"))
+
+
+@query(
+    "c6_vectors",
+    """SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x))), 5) AS norm, round(list_distance(CAST(embedding AS DOUBLE[]), list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * 3)), 5) AS moved FROM embeddings""",
+)
+def c6(spark, d):
+    v = F.col("embedding").cast("array<double>")
+    return table(spark, d, "embeddings").select("vec_id", F.round(vc.norm(v), 5).alias("norm"), F.round(vc.distance(v, vc.scale(v, 3.0)), 5).alias("moved"))
+
+
+@query("c7_positional_numbers")
+def c7(spark, d):
+    """Sums and products of numbers given by digits of base 10^6, over Arrow batches."""
+
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        base = 10**6
+        return pd.Series([ky.to_digits(ky.from_digits(map(int, x), base) * ky.from_digits(map(int, y), base), base) for x, y in zip(a, b)])
+
+    big = F.array(F.col("o_orderkey"), F.col("o_custkey"), F.lit(999999).cast("long"))
+    return table(spark, d, "orders").select("o_orderkey", F.pandas_udf(run, "array<long>")(big, big).alias("square"))
+
+
+@query(
+    "c8_primes",
+    "SELECT o_orderkey, o_orderkey > 1 AND NOT EXISTS (SELECT 1 FROM range(2, 130) t(i) WHERE i * i <= o_orderkey AND o_orderkey % i = 0) AS prime FROM orders WHERE o_orderkey < 16000",
+)
+def c8(spark, d):
+    return table(spark, d, "orders").filter("o_orderkey < 16000").select("o_orderkey", ky.is_prime(F.col("o_orderkey")).alias("prime"))
+
+
+@query("c9_time", "SELECT event_id, epoch_us(ts) AS us, strftime(ts + INTERVAL '90 seconds', '%Y-%m-%d %H:%M:%S') AS later, epoch_us(ts + INTERVAL '1500 milliseconds') AS us_later FROM events")
+def c9(spark, d):
+    ts = F.col("ts").cast("timestamp")
+    return table(spark, d, "events").select("event_id", F.unix_micros(ts).alias("us"), F.date_format(ts + F.expr("INTERVAL 90 SECONDS"), "yyyy-MM-dd HH:mm:ss").alias("later"), F.unix_micros(ts + F.expr("INTERVAL 1500 MILLISECONDS")).alias("us_later"))
+
+
+@query("c10_strings", "SELECT doc_id, replace(source, 's', '\\s') AS escaped, lower(lang) AS lang, len(list_filter(regexp_split_to_array(source, '[0-9]'), lambda x: x <> '')) AS tokens FROM documents")
+def c10(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.replace("source", F.lit("s"), F.lit("\\s")).alias("escaped"), F.lower("lang").alias("lang"), F.size(F.filter(F.split("source", "[0-9]"), lambda x: x != "")).cast("long").alias("tokens"))
+
+
+@query("c11_key_hash", "SELECT c_custkey, md5(c_name) AS hash FROM customer")
+def c11(spark, d):
+    return table(spark, d, "customer").select("c_custkey", ky.hashed("c_name").alias("hash"))
+
+
+@query("c12_replica_keys", "SELECT c_custkey, r, substr('0123456789abcdef', CAST((strpos('0123456789abcdef', md5(c_name)[1]) - 1 + r * 4) % 16 + 1 AS INT), 1) || substr(md5(c_name), 2) AS key, (strpos('0123456789abcdef', md5(c_name)[1]) - 1) // 4 + 1 AS segment FROM customer, (VALUES (0), (1), (2), (3)) t(r)")
+def c12(spark, d):
+    rows = table(spark, d, "customer").withColumn("h", ky.hashed("c_name"))
+    return rows.select("c_custkey", F.posexplode(ky.replicas(F.col("h"), 4)).alias("r", "key"), ky.segment(F.col("h"), 4).cast("long").alias("segment"))
+
+
+@query("c12_ring_distance")
+def c12_distance(spark, d):
+    rows = table(spark, d, "customer").withColumn("h", ky.hashed("c_name"))
+    return rows.select("c_custkey", ky.ring_distance(F.col("h"), F.lit("f" * 32)).alias("distance"))
+
+
+@query(
+    "c13_list_helpers",
+    f"SELECT l_orderkey, array_to_string(p[1:2], ',') AS taken, list_position(p, p[len(p)]) AS at, array_to_string(list_transform(p, lambda x, i: x * i), ',') AS weighted, len(p[1:len(p) // 3 + CASE WHEN len(p) % 3 > 0 THEN 1 ELSE 0 END]) AS first_block FROM ({LINES})",
+)
+def c13(spark, d):
+    p = F.col("p")
+    return parts(spark, d).select(
+        "l_orderkey", _flat(F.slice(p, 1, 2)).alias("taken"), ls.index_of(p, F.element_at(p, -1)).cast("long").alias("at"), _flat(F.transform(p, lambda x, i: x * (i + 1))).alias("weighted"), F.size(ls.blocks(p, 3)[0]).cast("long").alias("first_block")
+    )
+
+
+@query("c14_binary", "SELECT o_orderkey, xor(o_orderkey, o_custkey) AS x, o_orderkey & o_custkey AS a, o_orderkey | o_custkey AS o FROM orders")
+def c14(spark, d):
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    return table(spark, d, "orders").select("o_orderkey", k.bitwiseXOR(c).alias("x"), k.bitwiseAND(c).alias("a"), k.bitwiseOR(c).alias("o"))
+
+
+@query("c15_hash_functions")
+def c15(spark, d):
+    from keystrata.operators.sketch import positions
+
+    return table(spark, d, "customer").select("c_custkey", positions(F.col("c_name"), 1 << 16, 4).alias("places"))
+
+
+@query("c16_checksum")
+def c16(spark, d):
+    return table(spark, d, "customer").select("c_custkey", F.crc32(F.col("c_name").cast("binary")).alias("checksum"))
+
+
+@query("c18_array_edits", f"SELECT l_orderkey, array_to_string(list_concat(p[1:1], [-1], p[2:]), ',') AS inserted, array_to_string(list_concat(p, [-2]), ',') AS appended, array_to_string(p[1:len(p) - 1], ',') AS popped FROM ({LINES})")
+def c18(spark, d):
+    p = F.col("p")
+    return parts(spark, d).select(
+        "l_orderkey", _flat(F.concat(F.slice(p, 1, 1), F.array(F.lit(-1).cast("long")), F.slice(p, F.lit(2), F.size(p)))).alias("inserted"), _flat(F.array_append(p, F.lit(-2).cast("long"))).alias("appended"), _flat(F.slice(p, F.lit(1), F.size(p) - 1)).alias("popped")
+    )
+
+
+@query("c17_json_patch")
+def c17(spark, d):
+    """A patch of several steps on each document, all or nothing."""
+    from keystrata.functions.json_path import patch
+
+    steps = [{"op": "add", "path": ["list"], "value": [1, 2]}, {"op": "add", "path": ["list", "-"], "value": 3}, {"op": "move", "from": ["k"], "path": ["old"]}, {"op": "remove", "path": ["list", 0]}]
+    return patch(table(spark, d, "events").select("event_id", "props"), "props", steps)
+
+
+@query("c20_coordinate_update", "SELECT vec_id, round(CAST(embedding[1] AS DOUBLE) + 0.25 * (CAST(embedding[1] AS DOUBLE) - 0.1), 6) AS x FROM embeddings")
+def c20(spark, d):
+    """A coordinate moves a quarter of the way from a point."""
+    v = F.col("embedding").cast("array<double>")
+    step = vc.scale(vc.sub(v, F.transform(v, lambda x: F.lit(0.1))), 0.25)
+    return table(spark, d, "embeddings").select("vec_id", F.round(vc.add(v, step)[0], 6).alias("x"))
+
+
+@query("c21_key_deltas", "SELECT o_custkey, o_orderkey, o_orderkey - lag(o_orderkey, 1, 0) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS delta FROM orders")
+def c21(spark, d):
+    from pyspark.sql import Window as W
+
+    before = F.lag("o_orderkey", 1, 0).over(W.partitionBy("o_custkey").orderBy("o_orderkey"))
+    return table(spark, d, "orders").select("o_custkey", "o_orderkey", (F.col("o_orderkey") - before).alias("delta"))
+
+
+@query("c22_failure_rates", "SELECT p_size, CAST(ceil(-(p_size * 1000) * ln(0.01) / (ln(2) * ln(2))) AS BIGINT) AS bits, round(pow(1 - exp(-7.0 * p_size / 400), 7), 6) AS rate FROM (SELECT DISTINCT p_size FROM part)")
+def c22(spark, d):
+    """Bits of a filter for a failure rate, and the rate of a filter of 400 bits."""
+    n = F.col("p_size")
+    ln2 = F.log(F.lit(2.0))
+    bits = F.ceil(-(n * 1000) * F.log(F.lit(0.01)) / (ln2 * ln2))
+    return table(spark, d, "part").select("p_size").distinct().select("p_size", bits.alias("bits"), F.round(F.pow(1 - F.exp(F.lit(-7.0) * n / 400), F.lit(7)), 6).alias("rate"))
+
+
+@query("c23_bucket_suffix")
+def c23(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.pmod(F.xxhash64("source", "doc_id"), F.lit(8)).alias("bucket"))
+
+
+@query("c24_page_titles", "SELECT n_nationkey, 'N' || n_regionkey || ':' || upper(substr(n_name, 1, 1)) || lower(substr(n_name, 2)) AS title FROM nation")
+def c24(spark, d):
+    name = F.concat(F.upper(F.substring("n_name", 1, 1)), F.lower(F.expr("substring(n_name, 2)")))
+    return table(spark, d, "nation").select("n_nationkey", F.concat_ws(":", F.concat(F.lit("N"), F.col("n_regionkey").cast("string")), name).alias("title"))
+
+
+@query("c25_clamp", "SELECT s_suppkey, least(greatest(s_acctbal, 0), 5000) AS balance FROM supplier")
+def c25(spark, d):
+    return table(spark, d, "supplier").select("s_suppkey", vc.clamp(F.col("s_acctbal"), 0.0, 5000.0).alias("balance"))

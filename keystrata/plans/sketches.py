@@ -1,0 +1,98 @@
+"""Sketches: bounded histograms, Bloom and counting filters, invertible sketches, Merkle counters, clustering."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from keystrata.operators import sketch as sk
+from keystrata.plans.registry import query, table
+
+
+@query("a14_bounded_histogram")
+def a14(spark, d):
+    return sk.histogram(table(spark, d, "lineitem"), "l_extendedprice", 20)
+
+
+@query("a14_histogram_total", "SELECT count(*) AS n FROM lineitem")
+def a14_total(spark, d):
+    """Merging buckets loses no count."""
+    return sk.histogram(table(spark, d, "lineitem"), "l_extendedprice", 20).agg(F.sum("n").cast("long").alias("n"))
+
+
+@query("a15_histogram_merge", "SELECT x, CAST(sum(n) AS BIGINT) AS n FROM (SELECT l_quantity AS x, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1 UNION ALL SELECT l_quantity, count(*) * 2 FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1) GROUP BY x")
+def a15(spark, d):
+    """Two histograms, the second with twice the weight; values that are alike add up."""
+    li = table(spark, d, "lineitem")
+    a, b = (li.filter(f"l_returnflag = '{f}'").groupBy(F.col("l_quantity").alias("x")).agg((F.count(F.lit(1)) * w).alias("n")) for f, w in (("R", 1), ("A", 2)))
+    return a.unionByName(b).groupBy("x").agg(F.sum("n").alias("n"))
+
+
+@query("a17_ring_histogram", "SELECT CAST(floor(((o_orderkey - 5000 + 20000) % 20000) / 1000) AS BIGINT) AS part, count(*) AS n FROM orders WHERE o_orderkey < 20000 GROUP BY 1")
+def a17(spark, d):
+    """Values as distances from a base key around the ring."""
+    away = F.pmod(F.col("o_orderkey") - 5000, F.lit(20000))
+    return table(spark, d, "orders").filter("o_orderkey < 20000").groupBy(F.floor(away / 1000).alias("part")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("a29_merkle_counters", "SELECT (SELECT count(*) FROM orders) AS items, (SELECT count(DISTINCT o_orderkey // 256) FROM orders) AS leaves, (SELECT count(DISTINCT o_orderkey // 4096) FROM orders) AS inner_nodes")
+def a29(spark, d):
+    levels = sk.merkle_levels(table(spark, d, "orders"), "o_orderkey", "o_custkey", 0, 1 << 20, 16, 3)
+    leaves = levels[0].agg(F.sum("n").alias("items"), F.count(F.lit(1)).alias("leaves"))
+    return leaves.join(levels[1].agg(F.count(F.lit(1)).alias("inner_nodes"))).select("items", "leaves", "inner_nodes")
+
+
+@query("a30_bloom_rate", "SELECT true AS within, 0 AS missed")
+def a30(spark, d):
+    """A filter over one customer in three finds all of them, and not many more than its rate of the others."""
+    c = table(spark, d, "customer").select("c_custkey")
+    held = c.filter("c_custkey % 3 = 0")
+    b = sk.bloom_of(held, "c_custkey", held.count(), 0.05)
+    hit = sk.bloom_contains(b, F.col("c_custkey"))
+    member = F.col("c_custkey") % 3 == 0
+    rates = c.agg(F.count_if(member & ~hit).alias("missed"), (F.count_if(~member & hit) / F.count_if(~member)).alias("rate"))
+    return rates.select((F.col("rate") < 0.1).alias("within"), F.col("missed").cast("int").alias("missed"))
+
+
+@query("a31_counting_bloom", "SELECT CAST(4 * (SELECT count(*) FROM customer WHERE c_custkey % 2 = 1) AS BIGINT) AS total")
+def a31(spark, d):
+    """Additions less removals: what was removed again leaves nothing."""
+    c = table(spark, d, "customer").select("c_custkey")
+    both = c.withColumn("s", F.lit(1)).unionByName(c.filter("c_custkey % 2 = 0").withColumn("s", F.lit(-1)))
+    return sk.counting_bloom(both, "c_custkey", 1 << 14, 4, F.col("s")).agg(F.sum("n").alias("total"))
+
+
+@query("a32_invertible_sketch", "SELECT o_orderkey AS x, CASE WHEN o_orderkey % 101 = 0 THEN 1 ELSE -1 END AS side FROM orders WHERE (o_orderkey % 101 = 0) <> (o_orderkey % 103 = 0)")
+def a32(spark, d):
+    """The keys in which two stores differ, from sketches of their difference's size."""
+    o = table(spark, d, "orders").select("o_orderkey")
+    size = 4 * int(o.count() / 100) + 64
+    a, b = (sk.iblt(o.filter(f"o_orderkey % {m} <> 0"), "o_orderkey", size) for m in (103, 101))
+    found, empty = sk.iblt_entries(sk.iblt_minus(a, b), size)
+    if not empty:
+        raise ValueError("the sketch is too small")
+    return found.select("x", F.col("side").cast("int").alias("side"))
+
+
+@query("a33_clustering")
+def a33(spark, d):
+    """Agglomerative clusters of each label's first points, by Arrow groups."""
+    import numpy as np
+    import pandas as pd
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        points = [np.array(v, float) for v in pdf.sort_values("vec_id")["v"]]
+        weights = [1.0] * len(points)
+        while len(points) > 1:
+            m = np.array(points)
+            dist = np.linalg.norm(m[:, None] - m[None], axis=2)
+            np.fill_diagonal(dist, np.inf)
+            i, j = divmod(int(dist.argmin()), len(points))
+            if dist[i, j] > 0.9:
+                break
+            w = weights[i] + weights[j]
+            points[i], weights[i] = (points[i] * weights[i] + points[j] * weights[j]) / w, w
+            del points[j], weights[j]
+        return pd.DataFrame({"label": pdf["label"].iloc[0], "cluster": range(len(points)), "weight": weights})
+
+    rows = table(spark, d, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v")).filter("vec_id % 10 = 0")
+    return rows.groupBy("label").applyInPandas(merge, "label int, cluster long, weight double")

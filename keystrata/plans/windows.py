@@ -1,0 +1,141 @@
+"""Window-shaped computations, sorts, limits and splits."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from keystrata.operators.ranks import numbered
+from keystrata.plans.registry import query, table
+
+
+@query("n1_newest_version", "SELECT o_custkey, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) rn FROM orders) WHERE rn = 1")
+def n1(spark, d):
+    best = F.max_by(F.struct("o_orderkey", "o_totalprice"), F.struct("o_orderdate", "o_orderkey"))
+    return table(spark, d, "orders").groupBy("o_custkey").agg(best.alias("b")).select("o_custkey", "b.o_orderkey", "b.o_totalprice")
+
+
+@query("n2_key_rank", "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS rank, ntile(4) OVER (ORDER BY o_orderkey) AS quarter FROM orders")
+def n2(spark, d):
+    """Ranks from a range sort; quarters follow from rank and count."""
+    rows, total = numbered(table(spark, d, "orders").select("o_orderkey"), ["o_orderkey"])
+    small, extra = total // 4, total % 4
+    cut = extra * (small + 1)
+    r = F.col("rank")
+    quarter = F.when(r < cut, F.floor(r / (small + 1))).otherwise(extra + F.floor((r - cut) / max(small, 1))) + 1
+    return rows.select("o_orderkey", (r + 1).alias("rank"), quarter.cast("long").alias("quarter"))
+
+
+@query("n3_running_count", "SELECT o_custkey, o_orderkey, count(*) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS run FROM orders")
+def n3(spark, d):
+    run = F.count(F.lit(1)).over(W.partitionBy("o_custkey").orderBy("o_orderkey").rowsBetween(W.unboundedPreceding, 0))
+    return table(spark, d, "orders").select("o_custkey", "o_orderkey", run.alias("run"))
+
+
+@query("n4_position_weights", "SELECT o_custkey, round(sum(o_totalprice * rn) / sum(rn), 2) AS average FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) rn FROM orders) GROUP BY 1")
+def n4(spark, d):
+    rows = table(spark, d, "orders").withColumn("rn", F.row_number().over(W.partitionBy("o_custkey").orderBy("o_orderkey")))
+    return rows.groupBy("o_custkey").agg(F.round(F.sum(F.col("o_totalprice") * F.col("rn")) / F.sum("rn"), 2).alias("average"))
+
+
+SLOTS = "SELECT event_type, time_bucket(INTERVAL '6 hours', ts) AS slot, sum(value) AS v FROM events GROUP BY 1, 2"
+
+
+def slots(spark, d):
+    """Six-hour sums of each event type."""
+    from keystrata.operators.series import slot_of
+
+    return table(spark, d, "events").groupBy("event_type", slot_of("ts", "6 hours").alias("slot")).agg(F.sum("value").alias("v"))
+
+
+@query("n5_last_slots", f"SELECT event_type, slot, round(v, 6) AS v FROM (SELECT *, dense_rank() OVER (PARTITION BY event_type ORDER BY slot DESC) r FROM ({SLOTS})) WHERE r <= 5")
+def n5(spark, d):
+    r = F.dense_rank().over(W.partitionBy("event_type").orderBy(F.desc("slot")))
+    return slots(spark, d).withColumn("r", r).filter("r <= 5").select("event_type", "slot", F.round("v", 6).alias("v"))
+
+
+@query(
+    "n6_fill_gaps",
+    f"""WITH s AS ({SLOTS}), b AS (SELECT event_type, min(slot) lo, max(slot) hi FROM s GROUP BY 1), g AS (SELECT event_type, unnest(generate_series(lo, hi, INTERVAL '6 hours')) AS slot FROM b)
+    SELECT event_type, slot, round(last_value(v IGNORE NULLS) OVER (PARTITION BY event_type ORDER BY slot), 6) AS v FROM g LEFT JOIN s USING (event_type, slot)""",
+)
+def n6(spark, d):
+    from keystrata.operators.series import fill
+
+    return fill(slots(spark, d), ["event_type"], "slot", ["v"], "6 hours", "last").withColumn("v", F.round("v", 6))
+
+
+@query("n7_slot_offsets", f"SELECT event_type, slot, round(lag(v) OVER w, 6) AS before, round(lead(v) OVER w, 6) AS after FROM ({SLOTS}) WINDOW w AS (PARTITION BY event_type ORDER BY slot)")
+def n7(spark, d):
+    by = W.partitionBy("event_type").orderBy("slot")
+    return slots(spark, d).select("event_type", "slot", F.round(F.lag("v").over(by), 6).alias("before"), F.round(F.lead("v").over(by), 6).alias("after"))
+
+
+@query(
+    "n8_change_percent",
+    f"SELECT event_type, slot, round(CASE WHEN p IS NULL OR p = 0 THEN 100.0 ELSE abs(v - p) * 100.0 / abs(p) END, 4) AS change FROM (SELECT *, lag(v) OVER (PARTITION BY event_type ORDER BY slot) AS p FROM ({SLOTS}))",
+)
+def n8(spark, d):
+    """Absolute change against the slot before; 100 where that is unknown or 0."""
+    p = F.lag("v").over(W.partitionBy("event_type").orderBy("slot"))
+    rows = slots(spark, d).withColumn("p", p)
+    change = F.when(F.col("p").isNull() | (F.col("p") == 0), 100.0).otherwise(F.abs(F.col("v") - F.col("p")) * 100.0 / F.abs("p"))
+    return rows.select("event_type", "slot", F.round(change, 4).alias("change"))
+
+
+@query("l1_sort", "SELECT p_partkey, p_retailprice FROM part ORDER BY p_retailprice DESC, p_partkey")
+def l1(spark, d):
+    return table(spark, d, "part").select("p_partkey", "p_retailprice").orderBy(F.desc("p_retailprice"), "p_partkey")
+
+
+@query("l2_first_n", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 25")
+def l2(spark, d):
+    return table(spark, d, "orders").orderBy("o_orderkey").limit(25).select("o_orderkey", "o_totalprice")
+
+
+@query("l2_last_n", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey DESC LIMIT 25")
+def l2_last(spark, d):
+    return table(spark, d, "orders").orderBy(F.desc("o_orderkey")).limit(25).select("o_orderkey", "o_totalprice")
+
+
+@query("l3_order_and_range", "SELECT p_partkey, p_name FROM part WHERE p_size > 5 ORDER BY p_name, p_partkey LIMIT 30 OFFSET 10")
+def l3(spark, d):
+    from keystrata.operators.objects import ObjectQuery
+
+    return ObjectQuery(table(spark, d, "part")).where("p_size > 5").order("p_name", "p_partkey").range(10, 40).result("p_partkey", "p_name")
+
+
+@query("l4_limit_offset", "SELECT c_custkey, c_name FROM customer ORDER BY c_custkey LIMIT 50 OFFSET 100")
+def l4(spark, d):
+    return table(spark, d, "customer").orderBy("c_custkey").offset(100).limit(50).select("c_custkey", "c_name")
+
+
+@query("l5_random_subset")
+def l5(spark, d):
+    """Ten random rows; the seed makes them repeatable."""
+    return table(spark, d, "customer").withColumn("r", F.xxhash64("c_custkey", F.lit(11))).orderBy("r").limit(10).select("c_custkey")
+
+
+@query("l6_random_article")
+def l6(spark, d):
+    """One random page of a bucket, or of all pages where the bucket is empty."""
+    r = F.xxhash64("doc_id", F.lit(3))
+    rows = table(spark, d, "documents").select("doc_id", (F.pmod(F.xxhash64("doc_id"), F.lit(7)) != 2).alias("other"), r.alias("r"))
+    return rows.orderBy("other", "r").limit(1).select("doc_id")
+
+
+@query("l7_split_keys", "SELECT i, i * 1000000 // 8 AS key FROM (SELECT unnest(range(8)) AS i)")
+def l7(spark, d):
+    """Evenly spaced keys of a ring of a million."""
+    return spark.range(8).select(F.col("id").alias("i"), F.floor(F.col("id") * 1000000 / 8).alias("key"))
+
+
+@query("l8_min_max", "SELECT l_orderkey, l_linenumber, least(l_quantity, l_tax * 500, 20) AS low, greatest(l_quantity, l_tax * 500, 20) AS high FROM lineitem WHERE l_orderkey < 500")
+def l8(spark, d):
+    q, t = F.col("l_quantity"), F.col("l_tax") * 500
+    return table(spark, d, "lineitem").filter("l_orderkey < 500").select("l_orderkey", "l_linenumber", F.least(q, t, F.lit(20.0)).alias("low"), F.greatest(q, t, F.lit(20.0)).alias("high"))
+
+
+@query("l9_ring_order", "SELECT s_name, s_suppkey FROM supplier ORDER BY s_suppkey")
+def l9(spark, d):
+    return table(spark, d, "supplier").select("s_name", "s_suppkey").orderBy("s_suppkey")
