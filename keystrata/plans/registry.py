@@ -31,5 +31,5 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-for _family in ("store", "filters", "joins", "aggregates", "windows", "sets", "scalars", "series", "transactions", "graphs", "sketches", "objects"):
+for _family in ("store", "filters", "joins", "aggregates", "windows", "sets", "scalars", "series", "transactions", "graphs", "sketches", "objects", "streams"):
     import_module(f"keystrata.plans.{_family}")
