@@ -99,7 +99,12 @@ def merkle_levels(df: DataFrame, key: str, version: str, lo: int, hi: int, fan:
     leaves = fan**depth
     place = F.floor((F.col(key) - lo) * leaves / (hi - lo)).cast("long")
     level = df.select(place.alias("bucket"), F.xxhash64(key, version).alias("h")).groupBy("bucket").agg(F.bit_xor("h").alias("hash"), F.count(F.lit(1)).alias("n"))
-    out = [level]
+    return [level, *merkle_up(level, fan, depth)]
+
+
+def merkle_up(level: DataFrame, fan: int, depth: int) -> list[DataFrame]:
+    """The levels above a level."""
+    out = []
     for _ in range(depth):
         level = level.groupBy(F.floor(F.col("bucket") / fan).cast("long").alias("bucket")).agg(F.bit_xor(F.xxhash64("bucket", "hash")).alias("hash"), F.sum("n").alias("n"))
         out.append(level)

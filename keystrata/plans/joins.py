@@ -99,19 +99,25 @@ def j8(spark, d):
 @query("j9_merkle_difference", DIFF)
 def j9(spark, d):
     """Interval hashes from the top down; only buckets whose hashes differ are compared entry by entry."""
-    from keystrata.operators.sketch import merkle_levels
+    from keystrata.operators.sketch import merkle_levels, merkle_up
+    from keystrata.sources.scratch import materialize
 
-    a, b = copy_a(spark, d), copy_b(spark, d)
     lo, hi, fan, depth = 0, 1 << 24, 16, 3
-    la, lb = (merkle_levels(x, "o_orderkey", "version", lo, hi, fan, depth) for x in (a, b))
+    sides = []
+    for x in (copy_a(spark, d), copy_b(spark, d)):
+        # the leaves are written once: every level above is made of them
+        levels = merkle_levels(x, "o_orderkey", "version", lo, hi, fan, depth)
+        leaves = materialize(levels[0], "leaves")
+        sides.append((x, [leaves, *merkle_up(leaves, fan, depth)]))
     open_ = None
-    for x, y in zip(reversed(la), reversed(lb), strict=True):
+    for x, y in zip(reversed(sides[0][1]), reversed(sides[1][1]), strict=True):
         if open_ is not None:
-            x, y = (z.join(open_.select(F.col("bucket").alias("up")), F.floor(F.col("bucket") / fan) == F.col("up"), "left_semi") for z in (x, y))
+            up = open_.select(F.col("bucket").alias("up"))
+            x, y = (z.join(up, F.floor(F.col("bucket") / fan) == F.col("up"), "left_semi") for z in (x, y))
         both = x.select("bucket", F.col("hash").alias("ha")).join(y.select("bucket", F.col("hash").alias("hb")), "bucket", "full_outer")
-        open_ = both.filter(~F.col("ha").eqNullSafe(F.col("hb"))).select("bucket")
+        open_ = materialize(both.filter(~F.col("ha").eqNullSafe(F.col("hb"))).select("bucket"), "open")
     place = F.floor((F.col("o_orderkey") - lo) * fan**depth / (hi - lo)).cast("long")
-    near = [z.withColumn("bucket", place).join(open_, "bucket", "left_semi") for z in (a, b)]
+    near = [x.withColumn("bucket", place).join(open_, "bucket", "left_semi") for x, _ in sides]
     return recon.compare(*near, "o_orderkey", "version")
 
 
@@ -146,15 +152,18 @@ def j13(spark, d):
     return as_of(nodes.unionByName(keys), "k", ["kind"], "owner").filter("kind = 1").select(F.col("k").alias("o_orderkey"), "owner")
 
 
-def as_of(rows, key, ties, value):
-    """Last known value up to each row, in key order, over coarse ranges of the key: a range looks back to the last value of ranges before it."""
-    span = 4096
-    rows = rows.withColumn("_range", F.floor(F.col(key) / span).cast("long"))
-    heads = rows.filter(F.col(value).isNotNull()).groupBy("_range").agg(F.max_by(value, F.struct(key, *ties)).alias("_last"))
-    ranges = rows.select("_range").distinct().join(heads, "_range", "left")  # a row a range
-    carried = ranges.select("_range", F.last("_last", True).over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)).alias("_carried"))
+def as_of(rows, key, ties, value, ranges=4096):
+    """Last known value up to each row, in key order, by equal ranges of the key: a range begins with the last value of the ranges before it.
+
+    However many rows there are, only a row for each of a fixed number of ranges meets in one task.
+    """
+    lo, hi = rows.agg(F.min(key), F.max(key)).first()
+    span = max(1, -(-((hi or 0) - (lo or 0) + 1) // ranges))
+    rows = rows.withColumn("_range", F.floor((F.col(key) - F.lit(lo or 0)) / span).cast("int"))
+    heads = rows.groupBy("_range").agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.struct(key, *ties))).alias("_last"))
+    carried = heads.select("_range", F.last("_last", True).over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)).alias("_carried"))
     inside = F.last(value, True).over(W.partitionBy("_range").orderBy(key, *ties).rowsBetween(W.unboundedPreceding, 0))
-    return rows.join(carried, "_range").withColumn(value, F.coalesce(inside, F.col("_carried"))).drop("_range", "_carried")
+    return rows.join(F.broadcast(carried), "_range").withColumn(value, F.coalesce(inside, F.col("_carried"))).drop("_range", "_carried")
 
 
 @query("j14_bucketize", "SELECT CAST(floor((o_totalprice - 0) / 50000) + 1 AS BIGINT) AS bucket, count(*) AS n FROM orders WHERE o_totalprice < 500000 GROUP BY 1")

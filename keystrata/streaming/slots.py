@@ -19,18 +19,14 @@ from keystrata.sources.scratch import scratch
 def replayed(df: DataFrame, order: str, parts: int = 4) -> DataFrame:
     """A table as a stream of files in the order of a column, one file a batch."""
     spark, path = df.sparkSession, scratch(df.sparkSession, "replay")
-    ranked = df.withColumn("_part", F.ntile(parts).over(_by(order)))
-    for i in range(1, parts + 1):
-        ranked.filter(F.col("_part") == i).drop("_part").coalesce(1).write.mode("append").parquet(path)
+    cuts = df.approxQuantile(order, [i / parts for i in range(1, parts)], 0.01)
+    at = F.col(order)
+    for lo, hi in zip([None, *cuts], [*cuts, None]):
+        piece = (F.lit(True) if lo is None else at > lo) & (F.lit(True) if hi is None else at <= hi)
+        df.filter(piece).coalesce(1).write.mode("append").parquet(path)
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
-def _by(order: str):
-    from pyspark.sql import Window as W
-
-    return W.orderBy(order)
-
-
 def finished(stream: DataFrame, mode: str) -> DataFrame:
     """Run a stream over what there is; its last complete result, or all that it appended or updated."""
     spark = SparkSession.active()
