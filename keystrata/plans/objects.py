@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from keystrata.plans.registry import query, table
@@ -53,3 +54,58 @@ def x7(spark, d):
 
     rows = table(spark, d, "events").select(F.col("event_type").alias("name"), (F.col("event_id") % 2).alias("replica"))
     return crdt.counter_value(crdt.merge_counter(rows.groupBy("name", "replica").agg(F.count(F.lit(1)).alias("n"))))
+
+
+@query("x1_map_function", "SELECT item_id AS k, CAST(len(w) AS BIGINT) AS v FROM (SELECT item_id, unnest(string_split(text, ' ')) AS w FROM benchmark)")
+def x1(spark, d):
+    """An opaque map gives any number of rows for a row."""
+    from keystrata.operators.mapreduce import Phase, run
+
+    def lengths(batches):
+        for b in batches:
+            rows = [(k, len(w)) for k, v in zip(b["k"], b["v"]) for w in v.split(" ")]
+            yield pd.DataFrame(rows, columns=["k", "v"])
+
+    rows = table(spark, d, "benchmark").select(F.col("item_id").alias("k"), F.col("text").alias("v"))
+    return run(rows, [Phase("map_python", lengths, "k long, v long")])
+
+
+@query("x2_reduce_function", "SELECT event_type AS k, max(value) - min(value) AS v FROM events GROUP BY 1")
+def x2(spark, d):
+    """An opaque reduce of each key, whose values are cut into bounded parts and reduced to ends before."""
+
+    def ends(batches):
+        for b in batches:
+            yield b.groupby("k", as_index=False)["v"].agg(["min", "max"]).melt("k", value_name="v")[["k", "v"]]
+
+    def span(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"k": [pdf["k"].iloc[0]], "v": [pdf["v"].max() - pdf["v"].min()]})
+
+    rows = table(spark, d, "events").select(F.col("event_type").alias("k"), F.col("value").alias("v"))
+    return rows.mapInPandas(ends, "k string, v double").groupBy("k").applyInPandas(span, "k string, v double")
+
+
+@query("x6_read_modify_write", "SELECT c_custkey, CASE WHEN c_acctbal >= 0 THEN upper(c_name) ELSE c_name END AS value, c_acctbal >= 0 AS written FROM customer")
+def x6(spark, d):
+    """A read filter, a check and a write filter as one pass over Arrow batches."""
+
+    def change(name: pd.Series, balance: pd.Series) -> pd.Series:
+        return name.where(balance < 0, name.str.upper())
+
+    rows = table(spark, d, "customer")
+    return rows.select("c_custkey", F.pandas_udf(change, "string")("c_name", "c_acctbal").alias("value"), (F.col("c_acctbal") >= 0).alias("written"))
+
+
+@query("x8_custom_slot", "SELECT time_bucket(INTERVAL '1 day', ts) AS slot, max(value) - min(value) AS span FROM events GROUP BY 1")
+def x8(spark, d):
+    """A slot function of one's own: mergeable parts and a finish."""
+    from keystrata.operators.series import slot_of
+
+    return table(spark, d, "events").groupBy(slot_of("ts", "1 day").alias("slot")).agg((F.max("value") - F.min("value")).alias("span"))
+
+
+@query("m9_random_values", "SELECT 100 AS n, true AS inside")
+def m9(spark, d):
+    """Random numbers and texts from a seed."""
+    rows = spark.range(100).select(F.rand(5).alias("x"), F.randstr(8, 5).alias("s"))
+    return rows.agg(F.count(F.lit(1)).cast("int").alias("n"), F.bool_and((F.col("x") >= 0) & (F.col("x") < 1) & (F.length("s") == 8)).alias("inside"))

@@ -63,16 +63,17 @@ def c6(spark, d):
     return table(spark, d, "embeddings").select("vec_id", F.round(vc.norm(v), 5).alias("norm"), F.round(vc.distance(v, vc.scale(v, 3.0)), 5).alias("moved"))
 
 
-@query("c7_positional_numbers")
+@query("c7_positional_numbers", "SELECT o_orderkey, CAST(n * n AS VARCHAR) AS square FROM (SELECT o_orderkey, CAST(o_orderkey AS HUGEINT) * 1000000000000 + o_custkey * 1000000 + 999999 AS n FROM orders)")
 def c7(spark, d):
-    """Sums and products of numbers given by digits of base 10^6, over Arrow batches."""
+    """Products of numbers given by digits of base 10^6, over Arrow batches."""
 
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
         base = 10**6
-        return pd.Series([ky.to_digits(ky.from_digits(map(int, x), base) * ky.from_digits(map(int, y), base), base) for x, y in zip(a, b)])
+        digits = (ky.to_digits(ky.from_digits(map(int, x), base) * ky.from_digits(map(int, y), base), base) for x, y in zip(a, b))
+        return pd.Series([str(ky.from_digits(g, base)) for g in digits])
 
     big = F.array(F.col("o_orderkey"), F.col("o_custkey"), F.lit(999999).cast("long"))
-    return table(spark, d, "orders").select("o_orderkey", F.pandas_udf(run, "array<long>")(big, big).alias("square"))
+    return table(spark, d, "orders").select("o_orderkey", F.pandas_udf(run, "string")(big, big).alias("square"))
 
 
 @query(
@@ -105,7 +106,7 @@ def c12(spark, d):
     return rows.select("c_custkey", F.posexplode(ky.replicas(F.col("h"), 4)).alias("r", "key"), ky.segment(F.col("h"), 4).cast("long").alias("segment"))
 
 
-@query("c12_ring_distance")
+@query("c12_ring_distance", "SELECT c_custkey, translate(md5(c_name), '0123456789abcdef', 'fedcba9876543210') AS distance FROM customer")
 def c12_distance(spark, d):
     rows = table(spark, d, "customer").withColumn("h", ky.hashed("c_name"))
     return rows.select("c_custkey", ky.ring_distance(F.col("h"), F.lit("f" * 32)).alias("distance"))
@@ -148,7 +149,7 @@ def c18(spark, d):
     )
 
 
-@query("c17_json_patch")
+@query("c17_json_patch", "SELECT event_id, '{\"list\":[2,3],\"old\":' || json_extract(props, '$.k') || '}' AS props, 'ok' AS status, CAST(NULL AS VARCHAR) AS reason FROM events")
 def c17(spark, d):
     """A patch of several steps on each document, all or nothing."""
     from keystrata.functions.json_path import patch

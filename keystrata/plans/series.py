@@ -39,15 +39,35 @@ def w4(spark, d):
     return out.withColumns({"sum": F.round("sum", 4), "sum2": F.round("sum2", 4)})
 
 
-@query("w5_timing_histogram")
+HELD = "CAST(sum(1) AS BIGINT) AS held"
+
+
+def held(size: int):
+    """What a slot's bounded histogram counts in all: merging its buckets loses nothing."""
+    return F.aggregate(F.expr(f"histogram_numeric(value, {size})"), F.lit(0.0), lambda a, b: a + b["y"]).cast("long").alias("held")
+
+
+@query("w5_timing_histogram", f"SELECT {HOUR} AS slot, min(value) AS least, max(value) AS most, count(*) AS n, {HELD} FROM events GROUP BY 1")
 def w5(spark, d):
     """Timing values with a bounded histogram of each slot."""
-    return hours(spark, d).groupBy("slot").agg(*sr.timing("value"), F.expr("histogram_numeric(value, 20)").alias("histogram"))
+    return hours(spark, d).groupBy("slot").agg(*sr.timing("value"), held(20)).select("slot", "least", "most", "n", "held")
 
 
-@query("w6_histogram")
+@query("w6_histogram", f"SELECT {HOUR} AS slot, {HELD} FROM events GROUP BY 1")
 def w6(spark, d):
-    return hours(spark, d).groupBy("slot").agg(F.expr("histogram_numeric(value, 10)").alias("histogram"))
+    return hours(spark, d).groupBy("slot").agg(held(10))
+
+
+@query(
+    "w11_advance",
+    f"""WITH s AS (SELECT {HOUR} AS slot, count(*) AS n FROM events GROUP BY 1), b AS (SELECT min(slot) lo, max(slot) hi FROM s)
+    SELECT g.slot, coalesce(n, 0) AS n FROM (SELECT unnest(generate_series(lo, hi + INTERVAL '5 hours', INTERVAL '1 hour')) AS slot FROM b) g LEFT JOIN s USING (slot)""",
+)
+def w11(spark, d):
+    """Time moves on five slots without a value: they come into being empty."""
+    per = hours(spark, d).groupBy(F.lit(0).alias("g"), "slot").agg(F.count(F.lit(1)).alias("n"))
+    now = per.groupBy("g").agg((F.max("slot") + F.expr("INTERVAL 5 HOURS")).alias("slot")).withColumn("n", F.lit(0).cast("long"))
+    return sr.fill(per.unionByName(now), ["g"], "slot", ["n"], "1 hour", "zero").drop("g")
 
 
 @query("w7_slot_origin", "SELECT time_bucket(INTERVAL '1 hour', ts, TIMESTAMP '1970-01-01 00:20:00') AS slot, count(*) AS n FROM events GROUP BY 1")
