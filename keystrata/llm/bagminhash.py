@@ -26,13 +26,13 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keystrata.llm.common import map_batches, materialize, ship
+from keystrata.llm.common import discard, map_batches, materialize, ship
 from keystrata.llm.components import components
 from keystrata.llm.substrings import Words, distinct, rollers
 
 SHINGLE, BANDS, ROWS, SIMILAR = 5, 32, 5, 0.8
 #: Bytes of texts in a block of askers or members.
-MEETING = 4 << 20
+MEETING = 1 << 20
 RESULT = ("class_id", "class_size", "kept")
 
 
@@ -134,8 +134,8 @@ def verify(pairs: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
         got = overlap(*([normal(t) for t in batch.column(i).to_pylist()] for i in (2, 3)))
         return batch.select([0, 1]).filter(pa.array(got >= similar - 1e-12))
 
-    left = pairs.join(texts.select(F.col("row").alias("a"), F.col("text").alias("left")), "a")
-    both = left.join(texts.select(F.col("row").alias("b"), F.col("text").alias("right")), "b")
+    left = pairs.join(texts.select(F.col("row").alias("a"), F.col("text").alias("left")).hint("merge"), "a")
+    both = left.join(texts.select(F.col("row").alias("b"), F.col("text").alias("right")).hint("merge"), "b")
     return map_batches(both.select("a", "b", "left", "right"), run, "a bigint, b bigint", rows=256)
 
 
@@ -188,7 +188,7 @@ def missed(state: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
     ranked = state.groupBy("family", "cls").agg(F.count(F.lit(1)).alias("n"))
     base = ranked.groupBy("family").agg(F.max(F.struct("n", "cls"))["cls"].alias("base"), F.count(F.lit(1)).alias("classes"))
     base = materialize(base.filter("classes > 1").select("family", "base"), "base")
-    rows = materialize(state.join(base, "family").join(texts, "row").select("family", "row", "cls", (F.col("cls") != F.col("base")).alias("asks"), "text"), "mixed")
+    rows = materialize(state.join(base, "family").join(texts.hint("merge"), "row").select("family", "row", "cls", (F.col("cls") != F.col("base")).alias("asks"), "text"), "mixed")
     size = F.octet_length("text") + 64
     of = rows.groupBy("family").agg(F.ceil(F.sum(F.when(F.col("asks"), size)) / MEETING).cast("int").alias("nx"), F.ceil(F.sum(size) / MEETING).cast("int").alias("ny"))
     rows = rows.join(materialize(of, "sizes"), "family")
@@ -211,11 +211,12 @@ def links(reps: DataFrame, table: DataFrame, similar: float) -> DataFrame | None
     if pairs.isEmpty():
         return None
     families = components(pairs).withColumnRenamed("root", "family")
-    texts = materialize(table.select("row", "text").join(families.select("row"), "row"), "texts")
+    texts = materialize(table.select("row", "text").join(families.select("row").hint("merge"), "row"), "texts")
     found = materialize(verify(pairs, texts, similar), "found")
     classes = components(found).withColumnRenamed("root", "cls")
     state = materialize(families.join(classes, "row", "left").select("row", "family", F.coalesce("cls", "row").alias("cls")), "state")
     more = materialize(missed(state, texts, similar), "found")
+    discard(texts)
     return components(found.unionByName(more))
 
 
@@ -239,6 +240,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     owned = materialize(table.select("row", "id").join(seen.select("row", "same").join(heads, "same").select("row", "root"), "row"), "owned")
     least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row"))
     classes = materialize(owned.groupBy("root").agg(least.alias("least"), F.count(F.lit(1)).alias("n")), "classes")
-    found = owned.join(classes, "root").select("row", F.col("least.id").alias("class_id"), F.col("n").alias("class_size"), (F.col("row") == F.col("least.row")).alias("kept"))
-    out = table.select("row", *own).join(materialize(found, "found"), "row")
+    discard(seen)
+    found = owned.join(classes.hint("merge"), "root").select("row", F.col("least.id").alias("class_id"), F.col("n").alias("class_size"), (F.col("row") == F.col("least.row")).alias("kept"))
+    out = table.select("row", *own).join(materialize(found, "found").hint("merge"), "row")
     return out.select(*(F.col(o).alias(c) for c, o in zip(columns, own, strict=True)), *RESULT)

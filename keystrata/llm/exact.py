@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keystrata.llm.common import materialize, text_of
+from keystrata.llm.common import discard, materialize, text_of
 
 FIRST, GROW = 32, 8
 RESULT = ("keep_id", "group_size", "kept")
@@ -35,24 +35,29 @@ def split(rows: DataFrame, keys: list) -> DataFrame:
     keyed = rows.withColumn("digit", keys[-1])
     by = [*keys[:-1], "digit"]
     groups = keyed.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("next")).filter("n > 1").drop("n")
-    both = keyed.join(materialize(groups, "groups"), by)
+    # a merge at every size: with the rows' side dealt by key, Spark can split a large group
+    both = keyed.join(materialize(groups, "groups").hint("merge"), by)
     return materialize(both.select("row", "id", "bytes", "size", F.col("next").alias("grp")), "split")
 
 
 def equal_rows(keyed: DataFrame) -> DataFrame:
-    """From row, id, bytes, size: row, grp of every row whose bytes another row has too."""
-    active, at, width, ended = split(keyed, ["size", digit(0, FIRST)]), FIRST, FIRST * GROW, []
+    """From row, id, bytes, size: row, id, grp of every row whose bytes another row has too."""
+    active, at, width, ended, done = split(keyed, ["size", digit(0, FIRST)]), FIRST, FIRST * GROW, [], []
     while True:
         ended.append(active.filter(F.col("size") <= at).select("row", "id", "grp"))
         rest = active.filter(F.col("size") > at)
         if rest.isEmpty():
             break
-        active = split(rest, ["grp", digit(at, width)])
+        before, active = active, split(rest, ["grp", digit(at, width)])
+        done.append(before)
         at, width = at + width, width * GROW
     out = ended[0]
     for x in ended[1:]:
         out = out.unionByName(x)
-    return out
+    members = materialize(out, "members")
+    for x in [*done, active]:
+        discard(x)
+    return members
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", columns: list[str] | None = None) -> DataFrame:
@@ -61,11 +66,11 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     own = [f"c{i}" for i in range(len(columns))]  # whatever they are called outside, names don't clash here
     table = docs.select(*(F.col(f"`{c}`").alias(o) for c, o in zip(columns, own, strict=True)), F.col(id_col).alias("id"), text_of(text_col).cast("binary").alias("bytes"))
     table = materialize(table.withColumn("row", F.monotonically_increasing_id()).withColumn("size", F.length("bytes").cast("long")), "keyed")
-    members = materialize(equal_rows(table.select("row", "id", "bytes", "size")), "members")
+    members = equal_rows(table.select("row", "id", "bytes", "size"))
     last = F.max(F.struct("id", "row"))
     groups = materialize(members.groupBy("grp").agg(last.alias("last"), F.count(F.lit(1)).alias("n")), "equal")
-    found = members.join(groups, "grp").select("row", F.col("last.id").alias("keep"), "n", (F.col("row") == F.col("last.row")).alias("stays"))
-    out = table.select("row", "id", *own).join(materialize(found, "found"), "row", "left")
+    found = members.join(groups.hint("merge"), "grp").select("row", F.col("last.id").alias("keep"), "n", (F.col("row") == F.col("last.row")).alias("stays"))
+    out = table.select("row", "id", *own).join(materialize(found, "found").hint("merge"), "row", "left")
     return out.select(
         *(F.col(o).alias(c) for c, o in zip(columns, own, strict=True)),
         F.when(F.col("n").isNull(), F.col("id")).otherwise(F.col("keep")).alias("keep_id"),
