@@ -1,70 +1,14 @@
-"""Session helpers shared by the corpus operators."""
+"""What the corpus operators share: tables in the shared folder, text columns, Arrow batches."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-from pathlib import Path
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_ROOT = str(Path(__file__).resolve().parents[2])
-
-
-def ship(spark: SparkSession) -> None:
-    """Let local Python workers import this package even when only the driver's sys.path names it."""
-    env = spark.sparkContext.environment
-    have = env.get("PYTHONPATH", "")
-    if _ROOT not in have.split(":"):
-        env["PYTHONPATH"] = f"{_ROOT}:{have}" if have else _ROOT
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, as the session has it.
-
-    Only where it is unset one is chosen: a temporary folder for a local master (tests), else the
-    warehouse, which a cluster shares by definition.
-    """
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not at:
-        at = _OWN.get("dir")
-    if not at:
-        local = spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster")
-        at = "file://" + tempfile.mkdtemp(prefix="keystrata-") if local else spark.conf.get("spark.sql.warehouse.dir") + "/_scratch"
-        _OWN["dir"] = at
-    return at.rstrip("/")
-
-
-_OWN: dict[str, str] = {}
-_WRITTEN: list[tuple[SparkSession, str]] = []
+from keystrata.sources.scratch import discard, materialize, scratch, shared_dir
+from keystrata.sources.session import ship
 
-
-def scratch(spark: SparkSession, tag: str) -> str:
-    """A new path in the shared folder; removed when the driver ends."""
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    _WRITTEN.append((spark, path))
-    return path
-
-
-@atexit.register
-def _clean() -> None:
-    for spark, path in _WRITTEN:
-        try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception:  # the session has ended; its folder is the cluster's to clean
-            return
-
-
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: lineage ends here, lost executors cost nothing."""
-    spark = df.sparkSession
-    path = scratch(spark, tag)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["discard", "documents", "dtype", "map_batches", "materialize", "scratch", "shared_dir", "ship", "text_of"]
 
 
 def text_of(name: str = "text") -> Column:
@@ -90,11 +34,3 @@ def map_batches(df: DataFrame, fn, schema: str, rows: int = 1024) -> DataFrame:
 
 def dtype(df: DataFrame, name: str) -> str:
     return df.schema[name].dataType.simpleString()
-
-
-def discard(df: DataFrame) -> None:
-    """Delete a table that materialize() wrote, once nothing reads it any more."""
-    spark = df.sparkSession
-    for f in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)

@@ -178,6 +178,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """For each document its fingerprint and likeness (of paragraph multisets, 0 to 1) to its edited text and to the next document."""
     spark, kind = docs.sparkSession, dtype(docs, id_col)
     ship(spark)
+    if spark.conf.get("spark.sql.exchange.reuse", "true") != "true":
+        raise ValueError("the range sort feeds two readers, which must see the same ranges: spark.sql.exchange.reuse has to be on")
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     falling = [F.col("doc_id").desc_nulls_last(), F.col("tie").asc()]
     rows = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")).withColumn("tie", F.xxhash64("text"))
