@@ -225,8 +225,11 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ship(docs.sparkSession)
     columns = [c for c in (columns or docs.columns) if c not in RESULT]
     own = [f"c{i}" for i in range(len(columns))]
-    table = docs.select(*(F.col(f"`{c}`").alias(o) for c, o in zip(columns, own, strict=True)), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    table = materialize(table.withColumn("row", F.monotonically_increasing_id()), "keyed")
+    stored = [F.col(f"`{c}`").alias(o) for c, o in zip(columns, own, strict=True)]
+    at = columns.index(text_col) if text_col in columns else None  # the text is stored once
+    stored += [F.col(f"`{id_col}`").alias("id"), *([] if at is not None else [F.col(f"`{text_col}`").alias("c_text")])]
+    table = materialize(docs.select(*stored).withColumn("row", F.monotonically_increasing_id()), "keyed")
+    table = table.withColumn("text", F.col(own[at] if at is not None else "c_text").cast("string"))
     seen = materialize(profile(table, bands, rows), "profiles")
     reps = seen.groupBy("same").agg(F.min(F.struct("row", "bands")).alias("rep"), F.count(F.lit(1)).alias("n"))
     reps = materialize(reps.select("same", "rep.row", "rep.bands", "n"), "reps")

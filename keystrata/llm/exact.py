@@ -64,8 +64,11 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """docs (or its `columns`) with keep_id, group_size long, kept boolean."""
     columns = [c for c in (columns or docs.columns) if c not in RESULT]
     own = [f"c{i}" for i in range(len(columns))]  # whatever they are called outside, names don't clash here
-    table = docs.select(*(F.col(f"`{c}`").alias(o) for c, o in zip(columns, own, strict=True)), F.col(id_col).alias("id"), text_of(text_col).cast("binary").alias("bytes"))
-    table = materialize(table.withColumn("row", F.monotonically_increasing_id()).withColumn("size", F.length("bytes").cast("long")), "keyed")
+    stored = [F.col(f"`{c}`").alias(o) for c, o in zip(columns, own, strict=True)]
+    at = columns.index(text_col) if text_col in columns else None  # the text is stored once
+    stored += [F.col(f"`{id_col}`").alias("id"), *([] if at is not None else [F.col(f"`{text_col}`").alias("c_text")])]
+    table = materialize(docs.select(*stored).withColumn("row", F.monotonically_increasing_id()), "keyed")
+    table = table.withColumn("bytes", text_of(own[at] if at is not None else "c_text").cast("binary")).withColumn("size", F.length("bytes").cast("long"))
     members = equal_rows(table.select("row", "id", "bytes", "size"))
     last = F.max(F.struct("id", "row"))
     groups = materialize(members.groupBy("grp").agg(last.alias("last"), F.count(F.lit(1)).alias("n")), "equal")
