@@ -185,14 +185,11 @@ def j15(spark, d):
     FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0 AND v.vec_id <> q.vec_id GROUP BY q.vec_id""",
 )
 def j16(spark, d):
-    """Nearest other point of every stated query point: queries go to all rows in blocks, minima are partial."""
-    from keystrata.functions.vectors import distance
-
-    rows = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
-    asked = rows.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("q"), F.col("v").alias("qv"))
-    both = rows.join(asked, F.col("vec_id") != F.col("q"))
-    near = F.min_by("vec_id", F.struct(F.round(distance(F.col("v"), F.col("qv")), 6), "vec_id"))
-    return both.groupBy(F.col("q").alias("vec_id")).agg(near.alias("nearest"))
+    """Nearest other point of every stated query point, queries against all rows in blocks."""
+    from keystrata.operators.nearest import nearest
+
+    rows = table(spark, d, "embeddings")
+    return nearest(rows, rows.filter("vec_id % 20 = 0"), "vec_id", "embedding")
 
 
 @query(
