@@ -122,7 +122,7 @@ def profile(table: DataFrame, bands: int, rows: int) -> DataFrame:
         same = pa.array([xxhash.xxh3_128_digest(t) for t in texts], pa.binary())
         return pa.RecordBatch.from_arrays([batch.column(0), same, lists], names=["row", "same", "bands"])
 
-    return map_batches(table.select("row", "text"), run, "row bigint, same binary, bands array<bigint>", rows=2048)
+    return map_batches(table.select("row", "text"), run, "row bigint, same binary, bands array<bigint>", rows=1024)
 
 
 def verify(pairs: DataFrame, texts: DataFrame, similar: float) -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Segments that a worker remembers before it starts anew, and the longest that it remembers.
-MEMO, LONGEST = 800_000, 48
+MEMO, LONGEST = 500_000, 48
 _SIGNS = frozenset(".,;:!?")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _ODD = r"[\s\v\pZ\x{85}\x{1c}-\x{1f}][\s\v\pZ\x{85}\x{1c}-\x{1f}]"
