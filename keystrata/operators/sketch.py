@@ -135,3 +135,46 @@ def histogram(df: DataFrame, column: str, size: int) -> DataFrame:
     """x, n of the bounded histogram that the built-in mergeable aggregate keeps."""
     one = df.agg(F.expr(f"histogram_numeric(cast({column} as double), {size})").alias("h"))
     return one.select(F.explode("h").alias("b")).select("b.x", F.col("b.y").alias("n"))
+
+
+def agglomerate(points, radius: float):
+    """Centroids and weights after the closest pair within the radius was merged into its weighted centroid as often as there is one.
+
+    Each point keeps only its nearest later neighbour, so memory grows with the points and not with their pairs; a pass by
+    blocks finds the points that have one. The least pair in row order goes first among equals.
+    """
+    import numpy as np
+
+    m = np.array(points, float)
+    n = len(m)
+    weights, alive = np.ones(n), np.ones(n, bool)
+    near, at = np.full(n, np.inf), np.full(n, -1)
+
+    def search(k: int) -> None:
+        dist = np.linalg.norm(m[k + 1 :] - m[k], axis=1)
+        dist[~alive[k + 1 :] | (dist > radius)] = np.inf
+        j = int(dist.argmin()) if len(dist) else -1
+        near[k], at[k] = (dist[j], k + 1 + j) if j >= 0 and dist[j] < np.inf else (np.inf, -1)
+
+    squares = (m * m).sum(axis=1)
+    step = max(1, (1 << 21) // max(n, 1))
+    for a in range(0, n, step):
+        # products are not exact: who may have a neighbour is searched again by differences
+        far = squares[a : a + step, None] + squares[None] - 2 * m[a : a + step] @ m.T
+        later = np.arange(n)[None] > np.arange(a, min(a + step, n))[:, None]
+        slack = 1e-9 * (squares[a : a + step, None] + squares[None] + 1)
+        for k in np.flatnonzero(((far <= radius * radius + slack) & later).any(axis=1)):
+            search(a + int(k))
+    while n and near.min() < np.inf:
+        i = int(near.argmin())
+        j = int(at[i])
+        w = weights[i] + weights[j]
+        m[i], weights[i] = (m[i] * weights[i] + m[j] * weights[j]) / w, w
+        alive[j], near[j], at[j] = False, np.inf, -1
+        for k in np.flatnonzero(alive & ((at == i) | (at == j))):
+            search(int(k))
+        search(i)
+        dist = np.linalg.norm(m[:i] - m[i], axis=1)
+        closer = alive[:i] & (dist <= radius) & ((dist < near[:i]) | ((dist == near[:i]) & (i < at[:i])))
+        near[:i][closer], at[:i][closer] = dist[closer], i
+    return m[alive], weights[alive].tolist()

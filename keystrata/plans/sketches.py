@@ -75,24 +75,13 @@ def a32(spark, d):
 
 @query("a33_clustering")
 def a33(spark, d):
-    """Agglomerative clusters of each label's first points, by Arrow groups."""
+    """Agglomerative clusters of all points of each label, by Arrow groups."""
     import numpy as np
     import pandas as pd
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        points = [np.array(v, float) for v in pdf.sort_values("vec_id")["v"]]
-        weights = [1.0] * len(points)
-        while len(points) > 1:
-            m = np.array(points)
-            dist = np.linalg.norm(m[:, None] - m[None], axis=2)
-            np.fill_diagonal(dist, np.inf)
-            i, j = divmod(int(dist.argmin()), len(points))
-            if dist[i, j] > 0.9:
-                break
-            w = weights[i] + weights[j]
-            points[i], weights[i] = (points[i] * weights[i] + points[j] * weights[j]) / w, w
-            del points[j], weights[j]
-        return pd.DataFrame({"label": pdf["label"].iloc[0], "cluster": range(len(points)), "weight": weights})
-
-    rows = table(spark, d, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v")).filter("vec_id % 10 = 0")
+        _, weights = sk.agglomerate(np.array(pdf.sort_values("vec_id")["v"].tolist(), float), 0.9)
+        return pd.DataFrame({"label": pdf["label"].iloc[0], "cluster": range(len(weights)), "weight": weights})
+
+    rows = table(spark, d, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
     return rows.groupBy("label").applyInPandas(merge, "label int, cluster long, weight double")
