@@ -39,3 +39,26 @@ def test_clustering_reads_every_point(spark):
         _, want = brute_clusters([p.embedding for p in points if p.label == label], 0.9)
         assert [r.weight for r in sorted((r for r in got if r.label == label), key=lambda r: r.cluster)] == want
     assert sum(r.weight for r in got) == len(points)
+
+
+def levels(links, start, depth=None):
+    """node: fewest steps."""
+    out, front, n = dict.fromkeys(start, 0), set(start), 0
+    while front and (depth is None or n < depth):
+        n += 1
+        front = {b for a in front for b in links.get(a, ())} - out.keys()
+        out |= dict.fromkeys(front, n)
+    return out
+
+
+def test_closures_follow_the_links_of_all_items(spark):
+    items = spark.read.parquet(f"{DATA}/lineitem.parquet").select("l_partkey", "l_suppkey").distinct().collect()
+    n = spark.read.parquet(f"{DATA}/part.parquet").count()
+    links = {}
+    for p, s in items:
+        links.setdefault(p, set()).add((p * 31 + s * 7) % n + 1)
+    run = lambda name: entry.queries()[name](spark, DATA).collect()
+    assert sorted(r.node for r in run("g1_category_closure_whole")) == sorted(levels(links, [1]))
+    near = levels(links, [p for p in links if p <= 5])
+    assert [tuple(r) for r in run("g2_child_map_closure_whole")] == [(len(near), sum(near))]
+    assert {r.node: r.level for r in run("g3_bounded_expansion_whole")} == levels(links, [7], 3)
