@@ -22,11 +22,17 @@ def a1(spark, d):
 
 
 @query("a1_lists_join", "SELECT l_suppkey AS k, array_to_string(list(x ORDER BY x), ',') AS v FROM (SELECT l_suppkey, unnest([l_linenumber, l_linenumber + 10]) AS x FROM lineitem WHERE l_orderkey <= 400) GROUP BY 1")
-def a1_lists(spark, d):
-    rows = table(spark, d, "lineitem").filter("l_orderkey <= 400").select(F.col("l_suppkey").alias("k"), F.array("l_linenumber", F.col("l_linenumber") + 10).alias("v"))
+def a1_lists(spark, d, where="l_orderkey <= 400"):
+    rows = table(spark, d, "lineitem").filter(where).select(F.col("l_suppkey").alias("k"), F.array("l_linenumber", F.col("l_linenumber") + 10).alias("v"))
     return mapreduce.collected(rows).select("k", F.array_join(F.sort_array("v").cast("array<string>"), ",").alias("v"))
 
 
+@query("a1_lists_join_whole", "SELECT l_suppkey AS k, array_to_string(list(x ORDER BY x), ',') AS v FROM (SELECT l_suppkey, unnest([l_linenumber, l_linenumber + 10]) AS x FROM lineitem) GROUP BY 1")
+def a1_lists_whole(spark, d):
+    """The lists of all items; a1_lists_join itself keeps to the orders of its SQL."""
+    return a1_lists(spark, d, "true")
+
+
 @query("a2_reduce_python", "SELECT o_custkey AS k, max(o_totalprice) AS v FROM orders GROUP BY o_custkey")
 def a2(spark, d):
     """An opaque reducer sees all keys of its partition with their values."""

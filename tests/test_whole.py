@@ -62,3 +62,11 @@ def test_closures_follow_the_links_of_all_items(spark):
     near = levels(links, [p for p in links if p <= 5])
     assert [tuple(r) for r in run("g2_child_map_closure_whole")] == [(len(near), sum(near))]
     assert {r.node: r.level for r in run("g3_bounded_expansion_whole")} == levels(links, [7], 3)
+
+
+def test_lists_hold_every_value(spark):
+    want = {}
+    for r in spark.read.parquet(f"{DATA}/lineitem.parquet").select("l_suppkey", "l_linenumber").collect():
+        want.setdefault(r.l_suppkey, []).extend((r.l_linenumber, r.l_linenumber + 10))
+    got = {r.k: r.v for r in entry.queries()["a1_lists_join_whole"](spark, DATA).collect()}
+    assert got == {k: ",".join(map(str, sorted(v))) for k, v in want.items()}
