@@ -74,6 +74,23 @@ def difference(a: DataFrame, b: DataFrame, group: list[str], lo: str, hi: str) -
     return union(pieces, group, lo, hi)
 
 
+def relations(a: DataFrame, b: DataFrame, group: list[str], lo: str, hi: str) -> DataFrame:
+    """Each interval of a with subset, adjacent, left_of: whether that holds for some interval of b in its group.
+
+    A sweep by lower ends carries how far b reaches, and ends that touch meet by equality: rows are those of a and b, never pairs.
+    """
+    one = a.select(*group, lo, hi, F.lit(1).alias("_a")).unionByName(b.select(*group, lo, hi, F.lit(0).alias("_a")))
+    before = W.partitionBy(*group).orderBy(lo, "_a").rowsBetween(W.unboundedPreceding, 0)
+    swept = one.withColumn("_reach", F.max(F.when(F.col("_a") == 0, F.col(hi))).over(before)).filter("_a = 1")
+    last = b.groupBy(*group).agg(F.max(lo).alias("_last"))
+    begins = b.select(*group, F.col(lo).alias(hi), F.lit(True).alias("_begins")).distinct()
+    ends = b.select(*group, F.col(hi).alias(lo), F.lit(True).alias("_ends")).distinct()
+    met = swept.join(last, group, "left").join(begins, [*group, hi], "left").join(ends, [*group, lo], "left")
+    no = F.lit(False)
+    subset, left_of = F.coalesce(F.col("_reach") >= F.col(hi), no), F.coalesce(F.col("_last") > F.col(hi), no)
+    return met.select(*group, lo, hi, subset.alias("subset"), F.coalesce("_begins", "_ends", no).alias("adjacent"), left_of.alias("left_of"))
+
+
 def bucket(key: Column, lo: float, hi: float, n: int) -> Column:
     """Which of n equal parts of [lo, hi) a key is in, from 1."""
     return F.width_bucket(key.cast("double"), F.lit(float(lo)), F.lit(float(hi)), F.lit(n))

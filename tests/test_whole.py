@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 import __spark_entry__ as entry
+from keystrata.operators import intervals as iv
 from keystrata.operators import sketch as sk
 
 DATA = "/root/testdata/sf0.01"
@@ -70,3 +71,23 @@ def test_lists_hold_every_value(spark):
         want.setdefault(r.l_suppkey, []).extend((r.l_linenumber, r.l_linenumber + 10))
     got = {r.k: r.v for r in entry.queries()["a1_lists_join_whole"](spark, DATA).collect()}
     assert got == {k: ",".join(map(str, sorted(v))) for k, v in want.items()}
+
+
+def test_relations_equal_brute_force(spark):
+    draw = np.random.default_rng(5)
+    rows = lambda n: [(int(g), int(x), int(x + w)) for g, x, w in zip(draw.integers(0, 5, n), draw.integers(0, 40, n), draw.integers(0, 9, n))]
+    a, b = rows(120), [r for r in rows(60) if r[0] != 4]
+    frame = lambda x: spark.createDataFrame(x, "g long, lo long, hi long")
+    got = sorted(tuple(r) for r in iv.relations(frame(a), frame(b), ["g"], "lo", "hi").collect())
+    near = lambda f, x: any(f(x, y) for y in b if y[0] == x[0])
+    want = [(*x, near(lambda p, q: q[1] <= p[1] and p[2] <= q[2], x), near(lambda p, q: p[2] == q[1] or q[2] == p[1], x), near(lambda p, q: p[2] < q[1], x)) for x in a]
+    assert got == sorted(want) and len({w[3:] for w in want}) > 3
+
+
+def test_relations_cover_every_customer(spark):
+    orders = spark.read.parquet(f"{DATA}/orders.parquet").select("o_custkey", "o_orderkey").collect()
+    other = {}
+    for r in orders:
+        other[r.o_custkey] = other.get(r.o_custkey, 0) + (r.o_orderkey % 3 == 0)
+    assert entry.queries()["u4_interval_relations_whole"](spark, DATA).count() == sum(other[r.o_custkey] for r in orders)
+    assert {r.alo for r in entry.queries()["u4_interval_relations_swept"](spark, DATA).collect()} == {r.o_orderkey for r in orders}
