@@ -81,7 +81,8 @@ def c7(spark, d):
     "SELECT o_orderkey, o_orderkey > 1 AND NOT EXISTS (SELECT 1 FROM range(2, 130) t(i) WHERE i * i <= o_orderkey AND o_orderkey % i = 0) AS prime FROM orders WHERE o_orderkey < 16000",
 )
 def c8(spark, d):
-    return table(spark, d, "orders").filter("o_orderkey < 16000").select("o_orderkey", ky.is_prime(F.col("o_orderkey")).alias("prime"))
+    """All keys are tested; the SQL divides by numbers up to 129 and ends at 16,000, so it agrees up to sf0.01 only."""
+    return table(spark, d, "orders").select("o_orderkey", ky.is_prime(F.col("o_orderkey")).alias("prime"))
 
 
 @query("c9_time", "SELECT event_id, epoch_us(ts) AS us, strftime(ts + INTERVAL '90 seconds', '%Y-%m-%d %H:%M:%S') AS later, epoch_us(ts + INTERVAL '1500 milliseconds') AS us_later FROM events")

@@ -91,3 +91,11 @@ def test_relations_cover_every_customer(spark):
         other[r.o_custkey] = other.get(r.o_custkey, 0) + (r.o_orderkey % 3 == 0)
     assert entry.queries()["u4_interval_relations_whole"](spark, DATA).count() == sum(other[r.o_custkey] for r in orders)
     assert {r.alo for r in entry.queries()["u4_interval_relations_swept"](spark, DATA).collect()} == {r.o_orderkey for r in orders}
+
+
+def test_primes_of_every_key(spark, tmp_path):
+    keys = [0, 1, 2, 15991, 15999, 16000, 16127, 16129, 20011, 149993, 149999, 2**61 - 1, 2**61 + 1]
+    spark.createDataFrame([(k,) for k in keys], "o_orderkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    got = {r.o_orderkey: r.prime for r in entry.queries()["c8_primes"](spark, str(tmp_path)).collect()}
+    small = {k: k > 1 and all(k % i for i in range(2, int(k**0.5) + 1)) for k in keys if k < 10**6}
+    assert got == small | {2**61 - 1: True, 2**61 + 1: False}
