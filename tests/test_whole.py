@@ -99,3 +99,22 @@ def test_primes_of_every_key(spark, tmp_path):
     got = {r.o_orderkey: r.prime for r in entry.queries()["c8_primes"](spark, str(tmp_path)).collect()}
     small = {k: k > 1 and all(k % i for i in range(2, int(k**0.5) + 1)) for k in keys if k < 10**6}
     assert got == small | {2**61 - 1: True, 2**61 + 1: False}
+
+
+def test_histograms_count_every_row(spark, tmp_path):
+    keys = [*range(0, 20000, 700), 20000, 39999, 40000, 131313]
+    rows = [(k, "P" if k % 5 == 1 else "O", float(k % 900)) for k in keys]
+    spark.createDataFrame(rows, "o_orderkey long, o_orderstatus string, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(k, float(k % 7)) for k in keys], "user_id long, value double").write.parquet(f"{tmp_path}/events.parquet")
+    run = lambda name: {r[0]: r[1] for r in entry.queries()[name](spark, str(tmp_path)).collect()}
+
+    def means(pairs):
+        out = {}
+        for b, v in pairs:
+            out.setdefault(b, []).append(v)
+        return {b: pytest.approx(sum(v) / len(v), abs=1e-4) for b, v in out.items()}
+
+    assert run("a8_gossip_histogram") == means((k // 2000 + 1, v) for k, s, v in rows if s != "P")
+    assert run("m5_request_histogram_whole") == means((k // 10 + 1, k % 7) for k in keys)
+    parts = [(k - 5000) % 140000 // 1000 for k in keys]
+    assert run("a17_ring_histogram") == {p: parts.count(p) for p in parts}
