@@ -144,11 +144,21 @@ def a20(spark, d):
     """SELECT l_orderkey, l_linenumber, ((l_quantity - 5) * (l_quantity - 5) - l_quantity * l_quantity + (l_tax * 100 + 5) * (l_tax * 100 + 5) - l_tax * l_tax * 10000) / 2 AS change,
     floor((l_quantity + l_tax * 100) / 2) AS target FROM lineitem WHERE l_orderkey < 200""",
 )
-def a21(spark, d):
+def a21(spark, d, where="l_orderkey < 200"):
     """How moving 5 from one node to another changes the loads' variance, and the load that both would settle at."""
     q, t = F.col("l_quantity"), F.col("l_tax")
     change = ((q - 5) * (q - 5) - q * q + (t * 100 + 5) * (t * 100 + 5) - t * t * 10000) / 2
-    return table(spark, d, "lineitem").filter("l_orderkey < 200").select("l_orderkey", "l_linenumber", change.alias("change"), F.floor((q + t * 100) / 2).cast("double").alias("target"))
+    return table(spark, d, "lineitem").filter(where).select("l_orderkey", "l_linenumber", change.alias("change"), F.floor((q + t * 100) / 2).cast("double").alias("target"))
+
+
+@query(
+    "a21_load_change_whole",
+    """SELECT l_orderkey, l_linenumber, ((l_quantity - 5) * (l_quantity - 5) - l_quantity * l_quantity + (l_tax * 100 + 5) * (l_tax * 100 + 5) - l_tax * l_tax * 10000) / 2 AS change,
+    floor((l_quantity + l_tax * 100) / 2) AS target FROM lineitem""",
+)
+def a21_whole(spark, d):
+    """a21_load_change over the whole table; a21_load_change itself keeps to the rows of its SQL."""
+    return a21(spark, d, "true")
 
 
 for _dir, _where, _desc in (("forward", "o_orderkey > 5000", False), ("backward", "o_orderkey <= 5000", True)):

@@ -42,12 +42,21 @@ def c3(spark, d):
     "c4_numeric",
     "SELECT l_orderkey, l_linenumber, round(pow(l_quantity, 3), 4) AS cube, round(ln(l_quantity) / ln(3), 6) AS log3, round(log2(l_quantity), 6) AS lg, round(ln(1 + l_tax), 6) AS l1p, floor(l_extendedprice / 7) AS down, ceil(l_extendedprice / 7) AS up FROM lineitem WHERE l_orderkey < 300",
 )
-def c4(spark, d):
+def c4(spark, d, where="l_orderkey < 300"):
     q, e = F.col("l_quantity"), F.col("l_extendedprice") / 7
-    rows = table(spark, d, "lineitem").filter("l_orderkey < 300")
+    rows = table(spark, d, "lineitem").filter(where)
     return rows.select("l_orderkey", "l_linenumber", F.round(F.pow(q, F.lit(3)), 4).alias("cube"), F.round(F.log(3.0, q), 6).alias("log3"), F.round(F.log2(q), 6).alias("lg"), F.round(F.log1p("l_tax"), 6).alias("l1p"), F.floor(e).cast("double").alias("down"), F.ceil(e).cast("double").alias("up"))
 
 
+@query(
+    "c4_numeric_whole",
+    "SELECT l_orderkey, l_linenumber, round(pow(l_quantity, 3), 4) AS cube, round(ln(l_quantity) / ln(3), 6) AS log3, round(log2(l_quantity), 6) AS lg, round(ln(1 + l_tax), 6) AS l1p, floor(l_extendedprice / 7) AS down, ceil(l_extendedprice / 7) AS up FROM lineitem",
+)
+def c4_whole(spark, d):
+    """c4_numeric over the whole table; c4_numeric itself keeps to the rows of its SQL."""
+    return c4(spark, d, "true")
+
+
 @query("c5_number_theory", "SELECT p_partkey, p_size, gcd(p_partkey, p_size) AS divisor, CAST(factorial(p_size % 15) AS BIGINT) AS f, CAST(factorial(p_size % 15) / (factorial(p_size % 15 - least(p_size % 15, 4)) * factorial(least(p_size % 15, 4))) AS BIGINT) AS choose FROM part")
 def c5(spark, d):
     n = F.col("p_size") % 15

@@ -79,10 +79,16 @@ def u4_swept(spark, d):
 
 
 @query("u5_constructors", "SELECT o_orderkey, false AS open_, false AS half, o_orderkey = 40 AS single, true AS whole, o_orderkey > 30 AND o_orderkey < 50 AS between_ FROM orders WHERE o_orderkey < 100")
-def u5(spark, d):
+def u5(spark, d, where="o_orderkey < 100"):
     k = F.col("o_orderkey")
     kinds = {"open_": iv.Interval(40, 40, False, False), "half": iv.Interval(40, 40, True, False), "single": iv.Interval(40, 40), "whole": iv.Interval(None, None), "between_": iv.Interval(30, 50, False, False)}
-    return table(spark, d, "orders").filter("o_orderkey < 100").select("o_orderkey", *(v.test(k).alias(n) for n, v in kinds.items()))
+    return table(spark, d, "orders").filter(where).select("o_orderkey", *(v.test(k).alias(n) for n, v in kinds.items()))
+
+
+@query("u5_constructors_whole", "SELECT o_orderkey, false AS open_, false AS half, o_orderkey = 40 AS single, true AS whole, o_orderkey > 30 AND o_orderkey < 50 AS between_ FROM orders")
+def u5_whole(spark, d):
+    """u5_constructors over the whole table; u5_constructors itself keeps to the rows of its SQL."""
+    return u5(spark, d, "true")
 
 
 @query("u6_interval_split", "SELECT i AS part, 1000 * i // 7 AS lo, 1000 * (i + 1) // 7 AS hi, (SELECT count(*) FROM orders WHERE o_orderkey >= 1000 * i // 7 AND o_orderkey < 1000 * (i + 1) // 7) AS n FROM (SELECT unnest(range(7)) AS i)")

@@ -131,9 +131,15 @@ def l7(spark, d):
 
 
 @query("l8_min_max", "SELECT l_orderkey, l_linenumber, least(l_quantity, l_tax * 500, 20) AS low, greatest(l_quantity, l_tax * 500, 20) AS high FROM lineitem WHERE l_orderkey < 500")
-def l8(spark, d):
+def l8(spark, d, where="l_orderkey < 500"):
     q, t = F.col("l_quantity"), F.col("l_tax") * 500
-    return table(spark, d, "lineitem").filter("l_orderkey < 500").select("l_orderkey", "l_linenumber", F.least(q, t, F.lit(20.0)).alias("low"), F.greatest(q, t, F.lit(20.0)).alias("high"))
+    return table(spark, d, "lineitem").filter(where).select("l_orderkey", "l_linenumber", F.least(q, t, F.lit(20.0)).alias("low"), F.greatest(q, t, F.lit(20.0)).alias("high"))
+
+
+@query("l8_min_max_whole", "SELECT l_orderkey, l_linenumber, least(l_quantity, l_tax * 500, 20) AS low, greatest(l_quantity, l_tax * 500, 20) AS high FROM lineitem")
+def l8_whole(spark, d):
+    """l8_min_max over the whole table; l8_min_max itself keeps to the rows of its SQL."""
+    return l8(spark, d, "true")
 
 
 @query("l9_ring_order", "SELECT s_name, s_suppkey FROM supplier ORDER BY s_suppkey")

@@ -118,3 +118,20 @@ def test_histograms_count_every_row(spark, tmp_path):
     assert run("m5_request_histogram_whole") == means((k // 10 + 1, k % 7) for k in keys)
     parts = [(k - 5000) % 140000 // 1000 for k in keys]
     assert run("a17_ring_histogram") == {p: parts.count(p) for p in parts}
+
+
+@pytest.mark.parametrize(
+    "name, source, keys",
+    [
+        ("a21_load_change", "lineitem", {"l_orderkey": "l_orderkey", "l_linenumber": "l_linenumber"}),
+        ("c4_numeric", "lineitem", {"l_orderkey": "l_orderkey", "l_linenumber": "l_linenumber"}),
+        ("l8_min_max", "lineitem", {"l_orderkey": "l_orderkey", "l_linenumber": "l_linenumber"}),
+        ("u5_constructors", "orders", {"o_orderkey": "o_orderkey"}),
+        ("t5_read_validation", "lineitem", {"k": "l_orderkey", "op": "l_linenumber"}),
+        ("t6_write_validation", "lineitem", {"k": "l_orderkey", "op": "l_linenumber"}),
+    ],
+)
+def test_every_row_has_a_result(spark, name, source, keys):
+    got = entry.queries()[f"{name}_whole"](spark, DATA).select(*keys)
+    want = spark.read.parquet(f"{DATA}/{source}.parquet").select(*keys.values())
+    assert got.count() == want.count() and not got.exceptAll(want).count()
