@@ -9,11 +9,14 @@ its first point's time, so two documents agree in a position with the probabilit
 Jaccard similarity; and a process stops as soon as its next point is later than all positions have.
 
 Bands of the signature gather documents in buckets. Texts of equal words are one beforehand. A bucket
-never expands into pairs: its least row leads, every other member is held against it by exact
-multiset overlap, and links become classes. Buckets that share rows form a family; where a family is
-left with several classes, every row outside its largest class is held against all rows of other classes,
-block by block, and only links come out. So every pair that shares a bucket is in one class or compared.
-32 bands of 5 miss a pair of similarity 0.8 three times in a million.
+never expands into pairs. Classes contract in rounds: in each, a row is held against one leader, by
+exact multiset overlap, and links join classes; buckets whose rows are of one class are finished. The
+first round's leader is the least of those that lead a row's buckets; later, every row that isn't of
+a bucket's largest class takes a row of that class. Once fewer than a quarter of the rows that ask
+find a link, rounds no longer pay: in the buckets that are left, each row outside the largest class
+is held against all rows of other classes there, block by block, and only links come out. So every pair
+that shares a bucket is in one class or compared, however many rounds there are. 32 bands of 5 miss a
+pair of similarity 0.8 three times in a million.
 
 Defined results: words are lower-cased runs of anything but ASCII white space; texts without words
 (null, empty) are alike and form a class; rows that share an id are rows of their own; a null id never
@@ -28,20 +31,14 @@ from pyspark.sql import functions as F
 
 from keystrata.llm.common import discard, map_batches, materialize, ship
 from keystrata.llm.components import components
-from keystrata.llm.substrings import Words, distinct, rollers
+from keystrata.llm.runs import Words, distinct, mix
 
 SHINGLE, BANDS, ROWS, SIMILAR = 5, 32, 5, 0.8
-#: Bytes of texts in a block of askers or members.
-MEETING = 1 << 20
+#: Bytes in a block of askers or members, and what a row counts besides its text; links a round needs for each row that asked.
+MEETING, ROW, PAYS = 1 << 20, 2048, 0.25
 RESULT = ("class_id", "class_size", "kept")
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def normal(text: str | None) -> bytes:
     return b" ".join((text or "").lower().encode().split())
 
@@ -51,10 +48,10 @@ def shingles(texts: list[bytes], width: int = SHINGLE) -> tuple[np.ndarray, np.n
     counts = np.array([t.count(b" ") + 1 if t else 0 for t in texts], "i8")
     w = Words(counts, np.frombuffer(b" ".join(t for t in texts if t), np.uint8))
     whole = np.flatnonzero(w.left >= width)
-    hashes, docs = [rollers()[0].windows(w.text, w.start, w.end, whole, width)], [w.doc[whole]]
+    hashes, docs = [w.windows(whole, width)], [w.doc[whole]]
     for n in range(1, width):
         at = w.first[counts == n]
-        hashes.append(rollers()[0].windows(w.text, w.start, w.end, at, n))
+        hashes.append(w.windows(at, n))
         docs.append(w.doc[at])
     return np.concatenate(docs), np.concatenate(hashes)
 
@@ -178,46 +175,78 @@ def across(batches, similar: float):
         yield meet(rows)
 
 
-def missed(state: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
-    """Links that no leader saw, from state (row, family, cls) of families with several classes.
+def missed(rows: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
+    """Links among rows (bucket, row, cls) of buckets with several classes.
 
-    Rows of a family's largest class need no comparison with each other. Every other row asks all
+    Rows of a bucket's largest class need no comparison with each other. Every other row asks all
     rows of other classes. Askers and members are dealt into blocks of some MB, and each block of
-    askers meets each block of members in one task.
+    askers meets each block of members in one task. Buckets of the same rows meet once.
     """
-    ranked = state.groupBy("family", "cls").agg(F.count(F.lit(1)).alias("n"))
-    base = ranked.groupBy("family").agg(F.max(F.struct("n", "cls"))["cls"].alias("base"), F.count(F.lit(1)).alias("classes"))
-    base = materialize(base.filter("classes > 1").select("family", "base"), "base")
-    rows = materialize(state.join(base, "family").join(texts.hint("merge"), "row").select("family", "row", "cls", (F.col("cls") != F.col("base")).alias("asks"), "text"), "mixed")
-    size = F.octet_length("text") + 64
-    of = rows.groupBy("family").agg(F.ceil(F.sum(F.when(F.col("asks"), size)) / MEETING).cast("int").alias("nx"), F.ceil(F.sum(size) / MEETING).cast("int").alias("ny"))
-    rows = rows.join(materialize(of, "sizes"), "family")
+    mark = [F.count(F.lit(1)).alias("n"), F.min("row").alias("lead"), F.bit_xor(F.xxhash64("row")).alias("x"), F.bit_xor(F.xxhash64("row", F.lit(1))).alias("y")]
+    once = rows.groupBy("bucket").agg(*mark).groupBy("n", "lead", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket")
+    base = rows.groupBy("bucket", "cls").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket").agg(F.max(F.struct("n", "cls"))["cls"].alias("base"))
+    base = materialize(base.join(once, "bucket", "left_semi"), "base")
+    held = materialize(rows.join(base, "bucket").join(texts.hint("merge"), "row").select("bucket", "row", "cls", (F.col("cls") != F.col("base")).alias("asks"), "text"), "mixed")
+    size = F.octet_length("text") + ROW
+    of = held.groupBy("bucket").agg(F.ceil(F.sum(F.when(F.col("asks"), size)) / MEETING).cast("int").alias("nx"), F.ceil(F.sum(size) / MEETING).cast("int").alias("ny"))
+    placed = held.join(materialize(of, "sizes"), "bucket")
     salt = lambda n: F.pmod(F.xxhash64("row"), F.col(n).cast("long")).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    members = rows.withColumn("y", salt("ny")).withColumn("x", every("nx")).withColumn("ask", F.lit(False))
-    askers = rows.filter("asks").withColumn("x", salt("nx")).withColumn("y", every("ny")).withColumn("ask", F.lit(True))
-    dealt = members.unionByName(askers).select(F.concat_ws(":", "family", "x", "y").alias("at"), "ask", "row", "cls", "text")
+    members = placed.withColumn("y", salt("ny")).withColumn("x", every("nx")).withColumn("ask", F.lit(False))
+    askers = placed.filter("asks").withColumn("x", salt("nx")).withColumn("y", every("ny")).withColumn("ask", F.lit(True))
+    dealt = members.unionByName(askers).select(F.concat_ws(":", "bucket", "x", "y").alias("at"), "ask", "row", "cls", "text")
     met = dealt.repartition("at").sortWithinPartitions("at")
-    ship(state.sparkSession)
-    return met.mapInArrow(lambda batches: across(batches, similar), "a bigint, b bigint").distinct()
+    ship(rows.sparkSession)
+    found = materialize(met.mapInArrow(lambda batches: across(batches, similar), "a bigint, b bigint").distinct(), "found")
+    discard(held)
+    return found
+
+
+def contracted(cls: DataFrame, found: DataFrame) -> DataFrame:
+    """The classes (row, cls) after links (a, b) between rows have joined some."""
+    ends = found.join(cls.select(F.col("row").alias("a"), F.col("cls").alias("x")), "a").join(cls.select(F.col("row").alias("b"), F.col("cls").alias("y")), "b")
+    roots = components(ends.filter("x != y").select(F.col("x").alias("a"), F.col("y").alias("b")))
+    out = materialize(cls.join(roots.select(F.col("row").alias("cls"), "root"), "cls", "left").select("row", F.coalesce("root", "cls").alias("cls")), "classes")
+    discard(roots)
+    return out
 
 
 def links(reps: DataFrame, table: DataFrame, similar: float) -> DataFrame | None:
-    """row, root of representatives (row, bands) that belong to a class with others; None if there are none."""
+    """row, root of those representatives (row, bands) that share a bucket with others; None if there are none."""
     spread = reps.select("row", F.explode("bands").alias("bucket"))
-    full = materialize(spread.groupBy("bucket").agg(F.min("row").alias("leader"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "full")
-    pairs = spread.join(full, "bucket").filter("row != leader").select(F.col("leader").alias("a"), F.col("row").alias("b")).distinct()
-    pairs = materialize(pairs, "pairs")
-    if pairs.isEmpty():
+    full = materialize(spread.groupBy("bucket").agg(F.min("row").alias("lead"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "full")
+    if full.isEmpty():
         return None
-    families = components(pairs).withColumnRenamed("root", "family")
-    texts = materialize(table.select("row", "text").join(families.select("row").hint("merge"), "row"), "texts")
-    found = materialize(verify(pairs, texts, similar), "found")
-    classes = components(found).withColumnRenamed("root", "cls")
-    state = materialize(families.join(classes, "row", "left").select("row", "family", F.coalesce("cls", "row").alias("cls")), "state")
-    more = materialize(missed(state, texts, similar), "found")
+    member = materialize(spread.join(full, "bucket"), "members")
+    cls = materialize(member.select("row", F.col("row").alias("cls")).distinct(), "classes")
+    texts = materialize(table.select("row", "text").join(cls.select("row").hint("merge"), "row"), "texts")
+    pairs = member.groupBy("row").agg(F.min("lead").alias("a")).filter("row != a").select("a", F.col("row").alias("b"))
+    turn, asked = 0, materialize(pairs, "asked")
+    while True:
+        found = materialize(verify(asked, texts, similar), "found")
+        hits, asks = found.count(), asked.count()
+        before, cls = cls, contracted(cls, found)
+        spent, state = member, member.select("bucket", "row").join(cls, "row")
+        mixed = state.groupBy("bucket").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).filter("low != high").select("bucket")
+        member = materialize(state.join(mixed, "bucket", "left_semi"), "members")
+        for old in (before, spent, asked, found):
+            discard(old)
+        if member.isEmpty():
+            break
+        if hits < PAYS * asks:
+            found = missed(member, texts, similar)
+            before, cls = cls, contracted(cls, found)
+            discard(before)
+            break
+        turn += 1
+        each = member.groupBy("bucket", "cls").agg(F.count(F.lit(1)).alias("n"), F.min_by("row", F.xxhash64("row", F.lit(turn))).alias("lead"))
+        top = each.groupBy("bucket").agg(F.max(F.struct("n", "cls", "lead")).alias("top"))
+        asks_ = member.join(top, "bucket").filter("cls != top.cls")
+        pairs = asks_.groupBy("row").agg(F.min_by("top.lead", F.xxhash64("bucket", F.lit(turn))).alias("a"))
+        asked = materialize(pairs.select("a", F.col("row").alias("b")), "asked")
     discard(texts)
-    return components(found.unionByName(more))
+    discard(full)
+    return cls.withColumnRenamed("cls", "root")
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", columns: list[str] | None = None, similar: float = SIMILAR, bands: int = BANDS, rows: int = ROWS) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keystrata.llm.common import materialize
+from keystrata.llm.common import discard, materialize
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -22,6 +22,9 @@ def components(links: DataFrame) -> DataFrame:
         near = materialize(state.join(seen, "row").select("row", F.least("root", "r").alias("near"), "root"), "near")
         jump = near.select(F.col("row").alias("near"), F.col("near").alias("far"))
         step = materialize(near.join(jump, "near").select("row", F.least("near", "far").alias("root"), (F.least("near", "far") != F.col("root")).alias("moved")), "labels")
+        discard(near)
+        discard(state)
         state = step.select("row", "root")
         if step.filter("moved").isEmpty():
+            discard(both)
             return state

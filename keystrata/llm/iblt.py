@@ -27,17 +27,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from keystrata.llm.bagminhash import mix
 from keystrata.llm.common import dtype, map_batches, ship, text_of
-from keystrata.llm.substrings import distinct, rollers
+from keystrata.llm.runs import distinct, mix
 
 #: Cells in each third of the fingerprint that is returned; a line is cut after one word of CUT.
 CELLS, CUT = 8, 12
+#: Seed of the paragraphs' digests.
+KEY = 11
 _NEAR = [np.random.Generator(np.random.PCG64(100 + i)).integers(0, 2**32, 256, dtype=np.uint32) for i in range(6)]
 
 
 def paragraphs(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Document's place and digest of every paragraph; the j-th equal one of a document has a digest of its own."""
+    import xxhash
+
     body = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
     ends = np.cumsum([len(t) + 1 for t in texts])
     spaces = np.flatnonzero(body == 32)
@@ -50,7 +53,8 @@ def paragraphs(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     start = np.concatenate([[0], stop[:-1] + 1])
     held = stop > start
     start, stop = start[held], stop[held]
-    digest = rollers()[0].windows(body, start, stop, np.arange(len(start)), 1)
+    raw = body.tobytes()
+    digest = np.fromiter((xxhash.xxh3_64_intdigest(raw[a:b], KEY) for a, b in zip(start.tolist(), stop.tolist(), strict=True)), np.uint64, len(start))
     doc = np.searchsorted(ends, start, "right").astype(np.uint64)
     (doc, digest), _, n = distinct([doc, digest])
     nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)

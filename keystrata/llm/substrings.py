@@ -26,8 +26,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keystrata.llm.common import discard, dtype, map_batches, materialize, ship
+from keystrata.llm.runs import Words, distinct
 
-WINDOW, SLICE, BUCKET, BLOCK = 35, 4 << 20, 1 << 20, 1 << 20
+#: Words of a window, bytes of a slice, hashes of a bucket, and slices whose answers a task gathers.
+WINDOW, SLICE, BUCKET, TOGETHER = 35, 4 << 20, 1 << 20, 32
 
 #: A perfect difference set, every difference modulo 21 occurs in it.
 COVER_21 = (3, 6, 7, 12, 14)
@@ -46,51 +48,6 @@ def cover(window: int) -> tuple[int, np.ndarray]:
     return p, flags
 
 
-class Roller:
-    """Hashes of word windows from prefix sums of a polynomial modulo 2^64 over randomly drawn byte values."""
-
-    def __init__(self, seed: int):
-        r = np.random.Generator(np.random.PCG64(seed))
-        self.of = r.integers(0, 2**64, 256, dtype=np.uint64)
-        self.base = int(r.integers(0, 2**62)) * 8 + 5
-        self.grow(BLOCK)
-
-    def grow(self, n: int) -> None:
-        for name, b in (("up", self.base), ("down", pow(self.base, -1, 2**64))):
-            x = np.full(n + 1, b, np.uint64)
-            x[0] = 1
-            setattr(self, name, np.multiply.accumulate(x))
-
-    def windows(self, text: np.ndarray, start: np.ndarray, end: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
-        """For the words `at` (rising) the hash of `width` words from there on."""
-        out, k, begins = np.empty(len(at), np.uint64), 0, start[at]
-        while k < len(at):
-            lo = begins[k]
-            stop = max(k + 1, int(np.searchsorted(begins, lo + BLOCK)))
-            ends = end[at[k:stop] + width - 1]
-            part = text[lo : ends[-1]]
-            if len(part) >= len(self.up):
-                self.grow(2 * len(part))
-            sums = np.zeros(len(part) + 1, np.uint64)
-            np.cumsum(self.of[part] * self.up[: len(part)], out=sums[1:])
-            a = begins[k:stop] - lo
-            out[k:stop] = (sums[ends - lo] - sums[a]) * self.down[a]
-            k = stop
-        out ^= out >> np.uint64(31)
-        out *= np.uint64(0x9FB21C651E98DF25)
-        out ^= out >> np.uint64(29)
-        return out
-
-
-_ROLLERS: list[Roller] = []
-
-
-def rollers() -> list[Roller]:
-    if not _ROLLERS:
-        _ROLLERS.extend(Roller(s) for s in (11, 29))
-    return _ROLLERS
-
-
 def pack(arrays: list[np.ndarray], text: bytes) -> bytes:
     import pyarrow as pa
 
@@ -111,39 +68,11 @@ def unpack(blob: bytes) -> tuple[list[np.ndarray], np.ndarray]:
     return out, raw[at:]
 
 
-class Words:
-    """The words of a slice: their bytes, place in the document, and whose they are."""
-
-    def __init__(self, counts: np.ndarray, text: np.ndarray):
-        self.counts, self.text = counts, text
-        gaps = np.flatnonzero(text == 32)
-        any_ = int(len(text) > 0)
-        self.start = np.concatenate([np.zeros(any_, "i8"), gaps + 1])
-        self.end = np.concatenate([gaps, np.full(any_, len(text), "i8")])
-        self.first = np.cumsum(counts) - counts
-        self.doc = np.repeat(np.arange(len(counts)), counts)
-        self.place = np.arange(len(self.doc)) - self.first[self.doc]
-        self.left = counts[self.doc] - self.place
-
-
 def anchors(w: Words, window: int) -> np.ndarray:
     p, flags = cover(window)
     return np.flatnonzero(flags[w.place % p] & (w.left >= window - p + 1))
 
 
-def distinct(keys: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """Distinct rows of the key columns in order, where each row went, and how many there were."""
-    order = np.lexsort(keys[::-1]) if len(keys) > 1 else np.argsort(keys[0], kind="stable")
-    s = [k[order] for k in keys]
-    new = np.ones(len(order), bool)
-    if len(order):
-        new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in s])
-    group = np.cumsum(new) - 1
-    back = np.empty(len(order), "i8")
-    back[order] = group
-    return [k[new] for k in s], back, np.bincount(group, minlength=int(new.sum()))
-
-
 def edges(buckets: int) -> np.ndarray:
     """Where the buckets' ranges of leading bits begin."""
     return np.array([(i << 64) // buckets for i in range(buckets)], np.uint64)
@@ -156,8 +85,8 @@ def ballots(slice_: int, keys: list[np.ndarray], buckets: int) -> list[tuple]:
     return [(b, slice_, np.stack([k[lo:hi] for k in u]).tobytes(), np.packbits(n[lo:hi] > 1).tobytes()) for b, (lo, hi) in enumerate(zip(cuts, cuts[1:])) if hi > lo]
 
 
-def vote(df: DataFrame, columns: int) -> DataFrame:
-    """From ballots: slice and its list of (bucket, bits): which of its hashes are repeated."""
+def vote(df: DataFrame, columns: int, buckets: int, slices_: int) -> DataFrame:
+    """From ballots: slice and its list of (bucket, bits): which of its hashes are repeated. Both shuffles have partitions as the data has buckets and slices."""
     ship(df.sparkSession)
 
     def count(table):
@@ -171,8 +100,8 @@ def vote(df: DataFrame, columns: int) -> DataFrame:
         bits = [np.packbits(x).tobytes() for x in np.split(hit, np.cumsum(sizes)[:-1])]
         return pa.table({"slice": table.column("slice"), "bucket": table.column("bucket"), "bits": pa.array(bits, pa.binary())})
 
-    voted = df.groupBy("bucket").applyInArrow(count, "slice bigint, bucket int, bits binary")
-    return voted.groupBy("slice").agg(F.collect_list(F.struct("bucket", "bits")).alias("votes"))
+    voted = df.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(count, "slice bigint, bucket int, bits binary")
+    return voted.repartition(slices_, "slice").groupBy("slice").agg(F.collect_list(F.struct("bucket", "bits")).alias("votes"))
 
 
 def repeated(keys: list[np.ndarray], buckets: int, votes: list | None) -> np.ndarray:
@@ -246,12 +175,13 @@ def deduplicate(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", t
     p, _ = cover(window)
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     made = materialize(slices(docs, window, id_col, text_col), "slices")
-    buckets = max(least, -(-int(made.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]) // BUCKET))
+    held, many = made.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    buckets, tasks = max(least, -(-int(held) // BUCKET)), max(least, many // TOGETHER)
 
     def anchor_keys(blob):
         (counts,), text = unpack(blob)
         w = Words(counts, text)
-        return [rollers()[0].windows(w.text, w.start, w.end, anchors(w, window), window - p + 1)]
+        return [w.windows(anchors(w, window), window - p + 1)]
 
     def extend(batch):
         """Splits a slice: documents without a window in question are done, of the others these windows are noted."""
@@ -262,7 +192,7 @@ def deduplicate(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", t
             (counts,), text = unpack(blob)
             w = Words(counts, text)
             at = anchors(w, window)
-            hit = at[repeated([rollers()[0].windows(w.text, w.start, w.end, at, window - p + 1)], buckets, votes)]
+            hit = at[repeated([w.windows(at, window - p + 1)], buckets, votes)]
             mark = np.zeros(len(w.doc) + 1, "i8")
             np.add.at(mark, np.maximum(hit - p + 1, w.first[w.doc[hit]]), 1)
             np.add.at(mark, hit + 1, -1)
@@ -283,7 +213,7 @@ def deduplicate(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", t
         types = (pa.int64(), pa.bool_(), list_type, pa.binary(), pa.int64())
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names=["slice", "open", "ids", "blob", "n"])
 
-    votes = vote(emit(made, anchor_keys, buckets), 1)
+    votes = vote(emit(made, anchor_keys, buckets), 1, buckets, tasks)
     state = f"slice bigint, open boolean, ids array<{kind}>, blob binary, n bigint"
     asked = materialize(map_batches(made.join(votes, "slice", "left").select("slice", "ids", "blob", "votes"), extend, state, rows=1), "asked")
     discard(made)
@@ -292,7 +222,7 @@ def deduplicate(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", t
     def window_keys(blob):
         (counts, at), text = unpack(blob)
         w = Words(counts, text)
-        return [r.windows(w.text, w.start, w.end, at, window) for r in rollers()]
+        return [w.windows(at, window, lane) for lane in (0, 1)]
 
     def finish(batch):
         import pyarrow as pa
@@ -301,7 +231,7 @@ def deduplicate(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", t
         for ids, blob, votes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             (counts, at), text = unpack(blob)
             w = Words(counts, text)
-            hit = at[repeated([r.windows(w.text, w.start, w.end, at, window) for r in rollers()], buckets2, votes)] if len(at) else at
+            hit = at[repeated([w.windows(at, window, lane) for lane in (0, 1)], buckets2, votes)] if len(at) else at
             mark = np.zeros(len(w.doc) + 1, "i8")
             np.add.at(mark, hit, 1)
             np.add.at(mark, hit + window, -1)
@@ -324,7 +254,7 @@ def deduplicate(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", t
         return pa.RecordBatch.from_arrays([pa.array(owner, id_type), pa.array(n_words, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary())], names=["doc_id", "n_words", "n_removed", "kept"])
 
     open_ = asked.filter("open").select("slice", "ids", "blob")
-    votes2 = vote(emit(open_, window_keys, buckets2), 2)
+    votes2 = vote(emit(open_, window_keys, buckets2), 2, buckets2, tasks)
     no_votes = F.lit(None).cast("array<struct<bucket:int,bits:binary>>").alias("votes")
     rest = asked.filter("not open").select("ids", "blob", no_votes)
     done = open_.join(votes2, "slice", "left").select("ids", "blob", "votes").unionByName(rest)
