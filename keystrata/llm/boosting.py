@@ -76,11 +76,12 @@ def scaled(tree: Tree, by: float) -> Tree:
     return (*tree[:2], scaled(tree[2], by), scaled(tree[3], by)) if isinstance(tree, tuple) else tree * by
 
 
-def column(tree: Tree, features: list[Column]) -> Column:
+def sql(tree: Tree, features: str) -> str:
+    """The tree over an array of features, as SQL."""
     if not isinstance(tree, tuple):
-        return F.lit(float(tree))
+        return f"{float(tree)!r}D"
     j, t, left, right = tree
-    return F.when(features[j] <= F.lit(t), column(left, features)).otherwise(column(right, features))
+    return f"CASE WHEN {features}[{j}] <= {float(t)!r}D THEN {sql(left, features)} ELSE {sql(right, features)} END"
 
 
 def sigmoid(margin: Column) -> Column:

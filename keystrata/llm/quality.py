@@ -9,9 +9,11 @@ Training reads a bounded sample: of the labelled rows in the training folds (crc
 modulo 3 isn't 1) the `sample` rows with the least hash of their id. Its statistics, a short vector
 a row, are collected; everything else covers all rows.
 
-Defined results: null and empty texts have all statistics 0 and are scored so; a null id counts as not held
-out; repeated rows are scored each; without any usable label the score is 0.5; labels that are null
-are left out, and of several labels of an id the least counts; an empty table gives none.
+Defined results: null and empty texts have all statistics 0 and are scored so; very long texts are scored
+whole, in one row; a null id counts as not held out; repeated rows are scored each; without any usable label
+the score is 0.5; labels that are null are left out, of several labels of an id the least counts, and of
+several documents of an id the one with the least statistics is learnt from; an empty table gives none. Further
+columns pass through, whatever their names, but for score and predicted, which are replaced.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keystrata.llm import boosting
-from keystrata.llm.common import text_of
+from keystrata.llm.common import fresh, text_of
 
 SAMPLE, FOLD = 12_000, 1
 
@@ -31,10 +33,11 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def statistics(df: DataFrame, text: str) -> tuple[DataFrame, list[str]]:
-    """df with the statistics of its text column, and their names."""
+    """df with the statistics of its text column, and the names that they have there."""
     t, n = F.col(text), F.greatest(F.length(text), F.lit(1)).cast("double")
     share = lambda pattern: F.regexp_count(t, F.lit(pattern)) / n
-    words, lines = F.col("_words"), F.col("_lines")
+    w, ln = fresh(df.columns, "words", "lines")
+    words, lines = F.col(w), F.col(ln)
     n_words, n_lines = F.greatest(F.size(words), F.lit(1)).cast("double"), F.greatest(F.size(lines), F.lit(1)).cast("double")
     made = {
         "s_log_chars": F.log1p(F.length(text).cast("double")),
@@ -50,8 +53,9 @@ def statistics(df: DataFrame, text: str) -> tuple[DataFrame, list[str]]:
         "s_line": F.log1p(F.length(text) / n_lines),
     }
     empty = F.length(text) == 0
-    out = df.withColumns({"_words": F.split(t, r"\s+"), "_lines": F.split(t, "\n")})
-    return out.withColumns({k: F.when(empty, 0.0).otherwise(v.cast("double")) for k, v in made.items()}).drop("_words", "_lines"), list(made)
+    names = fresh([*df.columns, w, ln], *made)
+    out = df.withColumns({w: F.split(t, r"\s+"), ln: F.split(t, "\n")})
+    return out.withColumns({k: F.when(empty, 0.0).otherwise(v.cast("double")) for k, v in zip(names, made.values(), strict=True)}).drop(w, ln), names
 
 
 Rule = list[tuple[int, bool, float]]  # (feature, at most the threshold?, threshold), all of which must hold
@@ -140,14 +144,31 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
     # bounded by `sample` rows of two numbers
     rows = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text")).join(F.broadcast(few), "_id")
     rows, names = statistics(rows, "_text")
-    got = sorted(tuple(r) for r in rows.select("_id", "_y", *names).limit(2 * sample).collect())
-    x, y = np.array([g[2:] for g in got], float).reshape(len(got), len(names)), np.array([g[1] for g in got], float)
+    one = rows.groupBy("_id").agg(F.min(F.struct(*names)).alias("x"), F.min("_y").alias("y"))
+    got = sorted((*r.x, r.y) for r in one.select("x", "y").collect())
+    x, y = np.array([g[:-1] for g in got], float).reshape(len(got), len(names)), np.array([g[-1] for g in got], float)
     return fit_rules(x, (y > 0.5).astype(float))
 
 
+def scored(docs: DataFrame, model: tuple[float, list[tuple[Rule, float]]], text_col: str, name: str) -> DataFrame:
+    """docs with the score (0 to 1) under a name that none of its columns has."""
+    (text,) = fresh([*docs.columns, name], "t")
+    rows, names = statistics(docs.select(*(F.col(f"`{c}`") for c in docs.columns), text_of(text_col).alias(text)), text)
+    return rows.select(*(F.col(f"`{c}`") for c in docs.columns), compiled(model, names).alias(name))
+
+
 def score(docs: DataFrame, model: tuple[float, list[tuple[Rule, float]]], text_col: str = "text") -> DataFrame:
     """docs with score (0 to 1) and predicted; an input column of these names is replaced."""
-    kept = [c for c in docs.columns if c not in ("score", "predicted")]
-    rows, names = statistics(docs.select(*kept, text_of(text_col).alias("_text")), "_text")
-    out = rows.select(*kept, compiled(model, names).alias("score"))
-    return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    kept = [c for c in docs.columns if c.lower() not in ("score", "predicted")]
+    return scored(docs.select(*(F.col(f"`{c}`") for c in kept)), model, text_col, "score").withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def accept(docs: DataFrame, model: tuple[float, list[tuple[Rule, float]]], text_col: str = "text") -> DataFrame:
+    """Those of docs that are scored 0.5 or more.
+
+    The filter must not reach below the projection: it would compute each rule's statistics anew. A
+    column that isn't deterministic, and that the filter reads, keeps it above.
+    """
+    name, row = fresh(docs.columns, "score", "row")
+    held = scored(docs, model, text_col, name).withColumn(row, F.monotonically_increasing_id())
+    return held.filter((F.col(name) >= 0.5) & (F.col(row) >= 0)).select(*(F.col(f"`{c}`") for c in docs.columns))

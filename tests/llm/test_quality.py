@@ -34,8 +34,8 @@ def test_columns_equal_the_rules(spark):
     got = [v.s for v in df.select("i", quality.compiled(model, ["a", "b", "c"]).alias("s")).orderBy("i").collect()]
     assert np.allclose(got, want) and ((want > 0.5) == y).mean() > 0.97
     base, trees = boosting.fit(x, y, 5, 2)
-    col = sum((boosting.column(t, [df.a, df.b, df.c]) for t in trees), boosting.F.lit(base))
-    got = [v.s for v in df.select("i", col.alias("s")).orderBy("i").collect()]
+    total = " + ".join([f"{base!r}D", *(boosting.sql(t, "f") for t in trees)])
+    got = [v.s for v in df.selectExpr("i", "array(a, b, c) AS f").selectExpr("i", f"{total} AS s").orderBy("i").collect()]
     assert np.allclose(got, base + sum(boosting.predict(t, x) for t in trees))
 
 
@@ -47,3 +47,47 @@ def test_hard_cases(spark):
     none = quality.train(docs, spark.createDataFrame([], "doc_id long, quality int"))
     assert {r.score for r in quality.score(docs, none).collect()} == {0.5}
     assert quality.score(spark.createDataFrame([], SCHEMA), none).count() == 0
+
+
+def test_statistics_equal_a_plain_count(spark):
+    import math
+    import re
+
+    texts = ["Ab c 12!\n| x. Y?\nAb c", "", "  lead\t\n tail ", "ÉA ß $%{}.", "one"]
+    rows, names = quality.statistics(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string"), "text")
+    for r in rows.collect():
+        t = r.text
+        n = max(len(t), 1)
+        words, lines = re.split(r"\s+", t), t.split("\n")
+        count = lambda p: len(re.findall(p, t)) / n
+        want = [
+            math.log1p(len(t)), sum(c.isupper() for c in t) / n, count("[0-9]"), count(r"[#$%&*<>{}=~^_@\\/+]"), count("[!?]"), count(r"\|"), count(r"[.!?](?=\s|$)"),
+            len(t) / len(words), len(set(words)) / len(words), len(set(lines)) / len(lines), math.log1p(len(t) / len(lines)),
+        ]
+        assert np.allclose([r[k] for k in names], want if t else [0.0] * len(names)), t
+
+
+def test_clashing_names(spark):
+    rows = [(i, f"Some words {i}. " * (1 + i % 7), 1.5, "a", "b", "c", -1) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, s_digit double, _text string, words string, t string, score int")
+    model = quality.train(docs, spark.createDataFrame([(i, int(i % 7 > 3)) for i in range(60)], "doc_id long, quality int"))
+    got = quality.score(docs, model).collect()
+    assert got[0].__fields__ == ["doc_id", "text", "s_digit", "_text", "words", "t", "score", "predicted"] and {(r.s_digit, r._text, r.words, r.t) for r in got} == {(1.5, "a", "b", "c")}
+    kept = quality.accept(docs, model)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {r.doc_id for r in got if r.predicted} and {r.score for r in kept.collect()} == {-1}
+
+
+def test_accepting_computes_statistics_once(spark):
+    docs = table(spark, hard())
+    model = quality.train(docs, spark.createDataFrame([(i * 3, i % 2) for i in range(40)], "doc_id long, quality int"))
+    plan = quality.accept(docs, model)._jdf.queryExecution().optimizedPlan().toString()
+    scoring = quality.score(docs, model)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") + plan.count("regexp_count") == scoring.count("regexp_extract_all") + scoring.count("regexp_count")
+
+
+def test_repeated_ids(spark):
+    """Of several documents of an id one is learnt from, whatever the order of rows."""
+    rows = [(i % 20, "word " * (i + 1)) for i in range(60)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, quality int")
+    a = quality.train(spark.createDataFrame(rows, "doc_id long, text string"), labels)
+    assert a == quality.train(spark.createDataFrame(rows[::-1], "doc_id long, text string").repartition(5), labels)
