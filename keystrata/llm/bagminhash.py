@@ -137,7 +137,7 @@ def verify(pairs: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
 
 
 def across(batches, similar: float):
-    """Links between the askers and the members that meet them, from rows sorted by meeting: one a pair of asker and class."""
+    """Links between the askers and the members that meet them, from rows sorted by meeting: those that join classes which earlier links of the meeting didn't."""
     import pyarrow as pa
 
     def meet(rows: list[tuple]) -> pa.RecordBatch:
@@ -154,6 +154,14 @@ def across(batches, similar: float):
             y, yn, yd = names[first[k] :], n[first[k] :], doc[first[k] :] - k
             cls = np.array([r[3] for r in members])
             held = np.zeros(int(names.max()) + 1 if len(names) else 1, n.dtype)
+            joined: dict[int, int] = {}
+
+            def root(x: int) -> int:
+                while (up := joined.get(x, x)) != x:
+                    joined[x] = joined.get(up, up)
+                    x = up
+                return x
+
             for i, r in enumerate(asks):
                 mine = slice(first[i], first[i + 1])
                 held[names[mine]] = n[mine]
@@ -161,7 +169,10 @@ def across(batches, similar: float):
                 held[names[mine]] = 0
                 any_ = total[i] + total[k:] - both
                 near = np.flatnonzero((cls != r[3]) & (both >= (similar - 1e-12) * any_))
-                out += [(r[2], members[j][2]) for j in near[np.unique(cls[near], return_index=True)[1]]]
+                for j in near[np.unique(cls[near], return_index=True)[1]].tolist():
+                    if (own := root(r[3])) != (other := root(members[j][3])):
+                        joined[own] = other
+                        out.append((r[2], members[j][2]))
         return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
     rows: list[tuple] = []
