@@ -28,6 +28,9 @@ def fail(reason: str) -> dict:
 @dataclass(frozen=True)
 class Store:
     rows: DataFrame  # key, value, version
+    depth: int = 0  # writes that the plan holds
+    #: After so many writes the state is written down: a plan must not grow with the number of writes.
+    HELD = 16
 
     @staticmethod
     def of(spark: SparkSession, pairs: list[tuple], kind: str = "string") -> Store:
@@ -77,11 +80,14 @@ class Store:
     # writes
     def _set(self, key: str, value: Callable[[Column], Column]) -> Store:
         """The key's value replaced by value(old), which is null for a new key."""
-        kind = self.rows.schema["value"].dataType
-        one = self.rows.sparkSession.range(1).select(F.lit(key).alias("key"))
-        old = st.point(self.rows, "key", key).select("key", "value", "version")
-        new = one.join(old, "key", "left").select("key", value(F.col("value")).cast(kind).alias("value"), (F.coalesce("version", F.lit(-1)) + 1).cast("long").alias("version"))
-        return Store(self.rows.filter(F.col("key") != key).unionByName(new))
+        kind, own = self.rows.schema["value"].dataType, F.col("key") == key
+        if st.point(self.rows, "key", key).isEmpty():
+            new = self.rows.sparkSession.range(1).select(F.lit(key).alias("key"), value(F.lit(None).cast(kind)).cast(kind).alias("value"), F.lit(0).cast("long").alias("version"))
+            out = Store(self.rows.select("key", "value", "version").unionByName(new), self.depth + 1)
+        else:
+            change = {"value": F.when(own, value(F.col("value")).cast(kind)).otherwise(F.col("value")), "version": F.when(own, F.col("version") + 1).otherwise(F.col("version"))}
+            out = Store(self.rows.select("key", "value", "version").withColumns(change), self.depth + 1)
+        return out.commit() if out.depth >= self.HELD else out
 
     def write(self, key: str, value) -> Store:
         return self._set(key, lambda _: F.lit(value))
@@ -133,6 +139,69 @@ class Store:
             out.append(got)
         return self, out
 
+    def request_each(self, requests: list[tuple]) -> tuple[Store, list[dict]]:
+        """Requests that each commit on their own: one that fails takes no other along."""
+        now, out = self, []
+        for r in requests:
+            now, got = now.request_list([r, ("commit",)])
+            out.append(got[0])
+        return now, out
+
+    def continued(self, log: list[tuple], requests: list[tuple] | None = None) -> tuple[Store, list[tuple], list[dict]]:
+        """A request list that carries the log of earlier, uncommitted ones: the new store, the new log (empty after a commit) and the new requests' results."""
+        log, requests = ([], log) if requests is None else (log, requests)
+        now, got = self.request_list([*log, *requests])
+        done = bool(requests) and requests[-1][0] == "commit"
+        return now, [] if done else [*log, *requests], got[len(log) :]
+
+    # the store as a service
+    def nop(self, _=None) -> dict:
+        return OK
+
+    def node_info(self) -> dict:
+        return OK | {"value": {"version": "1", "language": "Spark " + self.rows.sparkSession.version, "load": self.count()}}
+
+    def node_performance(self) -> dict:
+        """Entries and the versions that they have reached: what a node has stored and been asked to write."""
+        r = self.rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("version"), F.lit(0)).alias("writes")).first()
+        return OK | {"value": {"entries": r.n, "writes": r.writes}}
+
+    def service_info(self) -> dict:
+        return OK | {"value": {"total_load": self.count(), "nodes": self.ring_size()["value"]}}
+
+    def service_performance(self) -> dict:
+        return self.node_performance()
+
+    def replication_factor(self) -> dict:
+        """One copy: keeping others is the shared storage's."""
+        return OK | {"value": 1}
+
+    def ring_size(self, _timeout: int | None = None) -> dict:
+        """The parts that hold the table."""
+        return OK | {"value": max(1, len(self.rows.inputFiles()))}
+
+    def wait_for_ring_size(self, size: int, _timeout: int | None = None) -> dict:
+        return OK if self.ring_size()["value"] == size else fail("timeout")
+
+    def benchmark(self, write: bool, rounds: int = 8) -> dict:
+        """Seconds and operations a second of increments, or of reads, on one key."""
+        import time
+
+        now, began = self, time.perf_counter()
+        for i in range(rounds):
+            if write:
+                now = now.write("benchmark", None).commit()
+            else:
+                now.read("benchmark")
+        took = time.perf_counter() - began
+        return OK | {"value": {"rounds": rounds, "seconds": took, "per_second": rounds / took}}
+
+    def benchmark_incr(self) -> dict:
+        return self.benchmark(True)
+
+    def benchmark_read(self) -> dict:
+        return self.benchmark(False)
+
     def map_reduce(self, phases: list[mapreduce.Phase], **options) -> DataFrame:
         cols = ["tag"] if "tag" in self.rows.columns else []
         return mapreduce.run(self.rows.select(*cols, F.col("key").alias("k"), F.col("value").alias("v")), phases, **options)
@@ -147,7 +216,10 @@ def monitor(nodes: DataFrame, value: str) -> DataFrame:
 #: Names of JSON calls and what they do.
 CALLS = {
     "read": "read", "range_read": "read_range", "write": "write", "add_on_nr": "add_on_number", "add_del_on_list": "add_del_on_list",
-    "test_and_set": "test_and_set", "delete": "delete", "req_list": "request_list",
+    "test_and_set": "test_and_set", "delete": "delete", "req_list": "continued", "req_list_commit_each": "request_each", "nop": "nop",
+    "get_node_info": "node_info", "get_node_performance": "node_performance", "get_service_info": "service_info", "get_service_performance": "service_performance",
+    "get_replication_factor": "replication_factor", "rbr_read": "read", "rbr_write": "write", "get_ring_size": "ring_size", "wait_for_ring_size": "wait_for_ring_size",
+    "run_benchmark_incr": "benchmark_incr", "run_benchmark_read": "benchmark_read",
 }
 
 

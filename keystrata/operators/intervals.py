@@ -5,9 +5,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from keystrata.operators.ranks import of_key, running
+
 #: An open end.
 ALL = None
 
@@ -43,34 +44,48 @@ def member(key: Column, pieces: list[Interval]) -> Column:
 
 
 def union(df: DataFrame, group: list[str], lo: str, hi: str) -> DataFrame:
-    """Union of closed intervals of each group, pieces that touch joined: a new island begins where nothing before reaches."""
-    by = W.partitionBy(*group).orderBy(lo, hi)
-    reach = F.max(hi).over(by.rowsBetween(W.unboundedPreceding, -1))
-    marked = df.select(*group, lo, hi).withColumn("_new", F.when(reach.isNull() | (F.col(lo) > reach), 1).otherwise(0))
-    numbered = marked.withColumn("_island", F.sum("_new").over(by.rowsBetween(W.unboundedPreceding, 0)))
-    return numbered.groupBy(*group, "_island").agg(F.min(lo).alias(lo), F.max(hi).alias(hi)).drop("_island")
+    """Union of closed intervals of each group, pieces that touch joined: a new island begins where nothing before reaches.
+
+    Islands follow from running values in the order of lower ends, so a group may hold any share of the rows.
+    """
+    rows = df.select(*group, lo, hi)
+    swept = running(rows, [*group, lo, hi], {"_reach": (F.max, F.struct(*group, F.col(hi).alias("_h")))}, inclusive=False)
+    reach = of_key("_reach", group, "_h")
+    begins = swept.filter(reach.isNull() | (F.col(lo) > reach)).select(*group, F.col(lo), reach.alias("_before"))
+    # an island ends where the next one found everything before it to end, the last at the group's end
+    nxt = running(begins, [*group, lo], {}, after={"_next": (F.min, F.struct(*group, F.col(lo).alias("_l"), F.col("_before").alias("_h")))})
+    ends = rows.groupBy(*group).agg(F.max(hi).alias("_end"))
+    return nxt.join(ends, group).select(*group, lo, F.coalesce(of_key("_next", group, "_h"), F.col("_end")).alias(hi))
+
+
+def events(a: DataFrame, b: DataFrame, group: list[str], lo: str, hi: str) -> DataFrame:
+    """Where intervals of either set begin (_end 0) and end (_end 1): group, _at, _end, _a, _b (1, -1 or 0)."""
+    out = None
+    for df, side in ((a, "_a"), (b, "_b")):
+        for at, end in ((lo, 0), (hi, 1)):
+            step = 1 - 2 * end
+            one = df.select(*group, F.col(at).alias("_at"), F.lit(end).alias("_end"), *(F.lit(step if side == c else 0).alias(c) for c in ("_a", "_b")))
+            out = one if out is None else out.unionByName(one)
+    return out
 
 
 def intersection(a: DataFrame, b: DataFrame, group: list[str], lo: str, hi: str) -> DataFrame:
-    """Common pieces of two sets of closed intervals, by group."""
-    right = b.select(*group, F.col(lo).alias("_lo"), F.col(hi).alias("_hi"))
-    both = a.select(*group, lo, hi).join(right, group)
-    both = both.filter((F.greatest(lo, "_lo")) <= F.least(hi, "_hi"))
-    return both.select(*group, F.greatest(lo, "_lo").alias(lo), F.least(hi, "_hi").alias(hi))
+    """Common pieces of two sets of closed intervals, each as union() gives them, by group.
+
+    One sweep over ends counts what covers a place; as every group's counts come back to 0, the counts of all groups
+    before add nothing. A piece begins where the second set joins the first, and the next event ends it.
+    """
+    by = [*group, "_at", "_end"]
+    swept = running(events(a, b, group, lo, hi), by, {"_na": (F.sum, F.col("_a")), "_nb": (F.sum, F.col("_b"))}, after={"_next": (F.min, F.struct(*by))})
+    both = swept.filter("_end = 0 AND _na > 0 AND _nb > 0")
+    return both.select(*group, F.col("_at").alias(lo), of_key("_next", group, "_at").alias(hi))
 
 
 def difference(a: DataFrame, b: DataFrame, group: list[str], lo: str, hi: str) -> DataFrame:
     """Half-open intervals [lo, hi) of a without those of b: sweep over ends with running cover counts."""
-    ends = None
-    for df, side in ((a, "a"), (b, "b")):
-        for at, step in ((lo, 1), (hi, -1)):
-            one = df.select(*group, F.col(at).alias("_at"), F.lit(step if side == "a" else 0).alias("_a"), F.lit(step if side == "b" else 0).alias("_b"))
-            ends = one if ends is None else ends.unionByName(one)
-    points = ends.groupBy(*group, "_at").agg(F.sum("_a").alias("_a"), F.sum("_b").alias("_b"))
-    by = W.partitionBy(*group).orderBy("_at")
-    run = by.rowsBetween(W.unboundedPreceding, 0)
-    pieces = points.select(*group, F.col("_at").alias(lo), F.lead("_at").over(by).alias(hi), F.sum("_a").over(run).alias("_a"), F.sum("_b").over(run).alias("_b"))
-    pieces = pieces.filter("_a > 0 AND _b = 0").filter(F.col(hi).isNotNull()).drop("_a", "_b")
+    points = events(a, b, group, lo, hi).groupBy(*group, "_at").agg(F.sum("_a").alias("_a"), F.sum("_b").alias("_b"))
+    swept = running(points, [*group, "_at"], {"_na": (F.sum, F.col("_a")), "_nb": (F.sum, F.col("_b"))}, after={"_next": (F.min, F.struct(*group, "_at"))})
+    pieces = swept.filter("_na > 0 AND _nb = 0").select(*group, F.col("_at").alias(lo), of_key("_next", group, "_at").alias(hi)).filter(F.col(hi).isNotNull())
     return union(pieces, group, lo, hi)
 
 
@@ -80,8 +95,8 @@ def relations(a: DataFrame, b: DataFrame, group: list[str], lo: str, hi: str) ->
     A sweep by lower ends carries how far b reaches, and ends that touch meet by equality: rows are those of a and b, never pairs.
     """
     one = a.select(*group, lo, hi, F.lit(1).alias("_a")).unionByName(b.select(*group, lo, hi, F.lit(0).alias("_a")))
-    before = W.partitionBy(*group).orderBy(lo, "_a").rowsBetween(W.unboundedPreceding, 0)
-    swept = one.withColumn("_reach", F.max(F.when(F.col("_a") == 0, F.col(hi))).over(before)).filter("_a = 1")
+    far = F.when(F.col("_a") == 0, F.struct(*group, F.col(hi).alias("_h")))
+    swept = running(one, [*group, lo, "_a"], {"_r": (F.max, far)}).filter("_a = 1").withColumn("_reach", of_key("_r", group, "_h")).drop("_r")
     last = b.groupBy(*group).agg(F.max(lo).alias("_last"))
     begins = b.select(*group, F.col(lo).alias(hi), F.lit(True).alias("_begins")).distinct()
     ends = b.select(*group, F.col(hi).alias(lo), F.lit(True).alias("_ends")).distinct()

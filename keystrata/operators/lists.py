@@ -9,19 +9,15 @@ from pyspark.sql import functions as F
 def sublist(arr: Column, start: Column, length: Column) -> Column:
     """Part of a list from a 1-based start; a start below 0 counts from the end, a length below 0 reads backwards.
 
-    Bounds outside the list are clamped as a reader that walks off its end would: what lies
-    outside is left out.
+    Of the places that are asked for only those that the list has are read.
     """
     n = F.size(arr)
-    begin = (
-        F.when(start > n, F.when(length >= 0, 0).otherwise(n))
-        .when(start >= 1, start)
-        .when(start < -n, F.when(length >= 0, 1).otherwise(0))
-        .otherwise(n + start + 1)
-    )
-    forward = F.slice(arr, F.greatest(begin, F.lit(1)), F.greatest(length, F.lit(0)))
-    backward = F.slice(F.reverse(arr), F.greatest(n - begin + 1, F.lit(1)), F.greatest(-length, F.lit(0)))
-    return F.when(begin == 0, F.slice(arr, 1, 0)).when(length >= 0, forward).otherwise(backward)
+    at = start + F.when(start > 0, 0).otherwise(n + 1)
+    back = length < 0
+    last = F.when(back, F.least(at, n)).otherwise(F.least(F.greatest(at, F.lit(1)) + length - 1, n))
+    first = F.greatest(F.when(back, last + length + 1).otherwise(at), F.lit(1))
+    part = F.slice(arr, first, F.greatest(last - first + 1, F.lit(0)))
+    return F.when(back, F.reverse(part)).otherwise(part)
 
 
 def without_first(arr: Column, x: Column) -> Column:
@@ -67,3 +63,21 @@ def remove_at(arr: Column, at: Column) -> Column:
 
 def index_of(arr: Column, x: Column) -> Column:
     return F.array_position(arr, x)
+
+
+def take_with(arr: Column, test) -> Column:
+    """The first element that passes, and the list without it; null where none does."""
+    at = F.array_position(F.transform(arr, lambda x: F.coalesce(test(x), F.lit(False))), True).cast("int")
+    return F.when(at > 0, F.struct(F.element_at(arr, at).alias("taken"), F.concat(F.slice(arr, F.lit(1), at - 1), F.slice(arr, at + 1, F.size(arr))).alias("rest")))
+
+
+def partition3(arr: Column, order) -> Column:
+    """Elements for which order(x) is below, at, and above 0."""
+    return F.struct(*(F.filter(arr, t).alias(n) for n, t in (("below", lambda x: order(x) < 0), ("at", lambda x: order(x) == 0), ("above", lambda x: order(x) > 0))))
+
+
+def key_store(pairs: Column, key: Column, value: Column) -> Column:
+    """Pairs (k, v) with the first of that key replaced, or the new one at the end."""
+    at = F.array_position(F.transform(pairs, lambda p: p["k"] == key), True).cast("int")
+    new = F.struct(key.alias("k"), value.alias("v"))
+    return F.when(at > 0, F.transform(pairs, lambda p, i: F.when(i + 1 == at, new).otherwise(p))).otherwise(F.concat(pairs, F.array(new)))

@@ -24,8 +24,10 @@ class ObjectQuery:
         return ObjectQuery(self.rows.join(sub.select(F.col(name).alias("_s")), F.col(column) == F.col("_s"), "left_anti"))
 
     def against(self, column: str, sub: DataFrame, compare) -> ObjectQuery:
-        """Compare with a subquery of one row and column (a scalar, one row to each task)."""
-        one = sub.select(F.col(sub.columns[0]).alias("_one")).limit(1)
+        """Compare with a subquery of one row and column (a scalar, one row to each task); none compares as null, several are an error."""
+        x = F.col(sub.columns[0])
+        several = F.raise_error(F.lit("the subquery has several rows")).cast(sub.schema[0].dataType)
+        one = sub.agg(F.when(F.count(F.lit(1)) > 1, several).otherwise(F.first(x)).alias("_one"))
         return ObjectQuery(self.rows.join(F.broadcast(one), compare(F.col(column), F.col("_one")), "inner").drop("_one"))
 
     def order(self, *by: Column | str) -> ObjectQuery:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from keystrata.operators.ranks import of_key, running
+
 
 def slot_of(ts: str, length: str, origin: str | None = None) -> Column:
     """Start of a timestamp's slot; the first slot begins at the origin (the epoch unless given)."""
@@ -42,6 +46,11 @@ def deviation(total: str = "sum", squares: str = "sum2", n: str = "n") -> Column
     return F.sqrt(F.greatest(F.col(squares) / F.col(n) - mean * mean, F.lit(0.0)))
 
 
+def custom(df: DataFrame, slot: Column, parts: dict[str, Column], finish: Callable[[dict[str, Column]], Column], name: str) -> DataFrame:
+    """Slots with a function of one's own: mergeable aggregates, and what becomes of them."""
+    return df.groupBy(slot.alias("slot")).agg(*(c.alias(f"_{n}") for n, c in parts.items())).select("slot", finish({n: F.col(f"_{n}") for n in parts}).alias(name))
+
+
 def retained(df: DataFrame, group: list[str], slot: str, length_s: int, count: int) -> DataFrame:
     """Slots that a ring buffer of `count` slots still holds: those after the newest less its span."""
     newest = df.groupBy(*group).agg(F.max(slot).alias("_newest"))
@@ -71,5 +80,6 @@ def merge(first: DataFrame, second: DataFrame, group: list[str], slot: str, valu
 
 def in_time(df: DataFrame, group: list[str], slot: Column, arrival: list[str]) -> DataFrame:
     """Without late rows: those whose slot is before the newest slot that arrived earlier."""
-    by = W.partitionBy(*group).orderBy(*arrival).rowsBetween(W.unboundedPreceding, 0)
-    return df.withColumn("_slot", slot).withColumn("_newest", F.max("_slot").over(by)).filter("_slot = _newest").drop("_slot", "_newest")
+    rows = df.withColumn("_slot", slot)
+    seen = running(rows, [*group, *arrival], {"_newest": (F.max, F.struct(*group, "_slot"))})
+    return seen.filter(F.col("_slot") == of_key("_newest", group, "_slot")).drop("_slot", "_newest")

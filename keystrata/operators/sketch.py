@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,46 +19,72 @@ def fpr(m: int, k: int, n: int) -> float:
     return (1 - math.exp(-k * n / m)) ** k
 
 
-def positions(x: Column, m: int, k: int) -> Column:
-    """k places of an element, by double hashing."""
-    a, b = F.pmod(F.xxhash64(x), F.lit(m)), F.pmod(F.xxhash64(x, F.lit(1)), F.lit(m - 1)) + 1
-    return F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.pmod(a + i * b, F.lit(m)))
+def hashes(x: Column, n: int, rule: str = "xxhash64") -> list[Column]:
+    """n (four at most) whole numbers from 0 on that a value hashes to; md5: eight hexadecimal digits each of its text's digest."""
+    if rule == "md5":
+        h = F.md5(x.cast("string").cast("binary"))
+        return [F.conv(F.substring(h, 8 * i + 1, 8), 16, 10).cast("long") for i in range(n)]
+    return [F.xxhash64(x, F.lit(i)).bitwiseAND(F.lit((1 << 63) - 1)) for i in range(n)]
 
 
-def bloom_table(df: DataFrame, column: str, m: int, k: int) -> DataFrame:
-    """The filter as a table of words: word, bits (64 positions a row)."""
-    spread = df.select(F.explode(positions(F.col(column), m, k)).alias("p"))
-    return spread.groupBy((F.col("p") / 64).cast("long").alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("p") % 64).cast("int"))).alias("bits"))
+def positions(x: Column, m: int, k: int, rule: str = "xxhash64") -> Column:
+    """k places below m of an element, by double hashing."""
+    a, b = hashes(x, 2, rule)
+    return F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.pmod(a % m + i * (b % (m - 1) + 1), F.lit(m)))
 
 
-class Bloom:
-    """A filter that fits the driver: its size follows n, so it is for sides whose count is known and bounded."""
-
-    def __init__(self, words: dict[int, int], m: int, k: int):
-        self.words, self.m, self.k = words, m, k
-
-    def union(self, other: Bloom) -> Bloom:
-        if (self.m, self.k) != (other.m, other.k):
-            raise ValueError("filters of different shape")
-        return Bloom({w: self.words.get(w, 0) | other.words.get(w, 0) for w in self.words.keys() | other.words.keys()}, self.m, self.k)
-
+#: Bits of a block of a Bloom filter: eight words.
+BITS = 512
 
-def bloom_of(df: DataFrame, column: str, n: int, rate: float, limit: int = 1 << 24) -> Bloom:
-    m, k = bloom_size(n, rate)
-    if m > limit:
-        raise ValueError(f"{m} bits are over the limit of {limit}: join with bloom_table instead")
-    return Bloom({r["word"]: r["bits"] for r in bloom_table(df, column, m, k).collect()}, m, k)
 
+@dataclass(frozen=True)
+class Bloom:
+    """A Bloom filter as a table, a row a block: block, w0 to w7. An element's bits are all in one block, so a
+    lookup is one row of a join, a filter grows with its elements, and none of it passes through the driver."""
 
-def bloom_contains(b: Bloom, x: Column) -> Column:
-    words = F.array(*(F.lit(b.words.get(w, 0)).cast("long") for w in range((b.m + 63) // 64)))
-    return F.forall(positions(x, b.m, b.k), lambda p: F.call_function("shiftright", F.element_at(words, (p / 64).cast("int") + 1), (p % 64).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1)
+    table: DataFrame
+    blocks: int
+    k: int
+    rule: str
 
+    def bits(self, x: Column) -> tuple[Column, Column]:
+        """Block and places in it."""
+        a, b, c = hashes(x, 3, self.rule)
+        return a % self.blocks, F.transform(F.sequence(F.lit(0), F.lit(self.k - 1)), lambda i: ((b + i * (c % (BITS - 1) + 1)) % BITS).cast("int"))
 
-def counting_bloom(df: DataFrame, column: str, m: int, k: int, sign: Column | int = 1) -> DataFrame:
+    def union(self, other: Bloom) -> Bloom:
+        if (self.blocks, self.k, self.rule) != (other.blocks, other.k, other.rule):
+            raise ValueError("filters of different shape")
+        both = self.table.unionByName(other.table).groupBy("block").agg(*(F.bit_or(f"w{i}").alias(f"w{i}") for i in range(BITS // 64)))
+        return Bloom(both, self.blocks, self.k, self.rule)
+
+    def mark(self, df: DataFrame, column: str, name: str) -> DataFrame:
+        """df with a column that says whether the filter may hold a row's element; null is never held."""
+        block, places = self.bits(F.col(column))
+        words = F.array(*(F.col(f"_w{i}") for i in range(BITS // 64)))
+        held = self.table.select(F.col("block").alias("_block"), *(F.col(f"w{i}").alias(f"_w{i}") for i in range(BITS // 64)))
+        asked = df.withColumns({"_block": block, "_places": places}).join(held, "_block", "left")
+        one = lambda p: F.call_function("shiftright", F.get(words, F.floor(p / 64).cast("int")), p % 64).bitwiseAND(F.lit(1).cast("long")) == 1
+        return asked.withColumn(name, F.coalesce(F.col("_w0").isNotNull() & F.forall("_places", one), F.lit(False))).select(*df.columns, name)
+
+
+def bloom_of(df: DataFrame, column: str, n: int, rate: float, rule: str = "xxhash64") -> Bloom:
+    """A filter of a column's elements, for n of them and a rate of false positives (blocks make it somewhat higher)."""
+    m, _ = bloom_size(n, rate)
+    empty = Bloom(df, max(1, -(-m // BITS)), max(1, round(-math.log2(rate))), rule)
+    block, places = empty.bits(F.col(column))
+    word = lambda i: F.aggregate(
+        F.filter("_places", lambda p: F.floor(p / 64) == i), F.lit(0).cast("long"), lambda acc, p: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), p % 64))
+    )
+    spread = df.filter(F.col(column).isNotNull()).select(block.alias("block"), places.alias("_places"))
+    table = spread.groupBy("block").agg(*(F.bit_or(word(i)).alias(f"w{i}") for i in range(BITS // 64)))
+    return Bloom(table, empty.blocks, empty.k, rule)
+
+
+def counting_bloom(df: DataFrame, column: str, m: int, k: int, sign: Column | int = 1, rule: str = "xxhash64") -> DataFrame:
     """pos, n: how many elements (added less removed) hash there."""
     step = sign if isinstance(sign, Column) else F.lit(sign)
-    spread = df.select(F.explode(positions(F.col(column), m, k)).alias("pos"), step.alias("s"))
+    spread = df.select(F.explode(positions(F.col(column), m, k, rule)).alias("pos"), step.alias("s"))
     return spread.groupBy("pos").agg(F.sum("s").alias("n")).filter("n <> 0")
 
 
@@ -75,12 +102,12 @@ def iblt_minus(a: DataFrame, b: DataFrame) -> DataFrame:
     return both.filter("n <> 0 OR keys <> 0 OR checks <> 0")
 
 
-def iblt_entries(cells: DataFrame, size: int, k: int = 3, rounds: int = 60) -> tuple[DataFrame, bool]:
-    """x, side of what the cells hold, and whether they came out empty; each round takes the pure cells' keys out."""
+def iblt_entries(cells: DataFrame, size: int, k: int = 3) -> tuple[DataFrame, bool]:
+    """x, side of what the cells hold, and whether they came out empty; each round takes the pure cells' keys out, until none is pure."""
     from keystrata.sources.scratch import materialize
 
     found, rest = None, materialize(cells, "cells")
-    for _ in range(rounds):
+    while True:
         pure = rest.filter((F.abs("n") == 1) & (F.xxhash64("keys", F.lit(99)) == F.col("checks"))).select(F.col("keys").alias("x"), F.col("n").alias("side")).distinct()
         pure = materialize(pure, "pure")
         if pure.isEmpty():
@@ -94,6 +121,15 @@ def iblt_entries(cells: DataFrame, size: int, k: int = 3, rounds: int = 60) -> t
     return (found if found is not None else cells.select(F.col("keys").alias("x"), F.col("n").alias("side")).limit(0)), empty
 
 
+def iblt_difference(a: DataFrame, b: DataFrame, column: str, size: int) -> DataFrame:
+    """x, side (1: only in a, -1: only in b) of two columns of distinct numbers, from sketches that double until what is left of them peels away."""
+    while True:
+        found, empty = iblt_entries(iblt_minus(iblt(a, column, size), iblt(b, column, size)), size)
+        if empty:
+            return found
+        size *= 2
+
+
 def merkle_levels(df: DataFrame, key: str, version: str, lo: int, hi: int, fan: int, depth: int) -> list[DataFrame]:
     """Levels from the leaves up: bucket, hash, n. Equal intervals with equal hashes hold equal entries."""
     leaves = fan**depth
@@ -111,30 +147,58 @@ def merkle_up(level: DataFrame, fan: int, depth: int) -> list[DataFrame]:
     return out
 
 
-def add_value(pairs: list[tuple[float, int]], x: float, n: int, size: int) -> list[tuple[float, int]]:
-    """A bounded histogram after n more of x: sorted values with counts, the two closest neighbours merged where there are too many."""
-    import bisect
+def closest_merged(h: str, size: int, whole: bool = False) -> str:
+    """SQL: a sorted array of (x, n), with its two closest neighbours (the first such pair) made one at their weighted mean if it is over size."""
+    gap = f"transform(sequence(1, size({h}) - 1), j -> get({h}, j).x - get({h}, j - 1).x)"
+    left, right = f"get({h}, i - 1)", f"get({h}, i)"
+    total = f"({left}.x * {left}.n + {right}.x * {right}.n)"
+    mean = f"{total} div ({left}.n + {right}.n)" if whole else f"{total} / ({left}.n + {right}.n)"
+    one = f"named_struct('x', {mean}, 'n', {left}.n + {right}.n)"
+    fewer = f"concat(slice({h}, 1, i - 1), array({one}), slice({h}, i + 2, size({h})))"
+    bound = f"get(transform(array(CAST(array_position(g, array_min(g)) AS int)), i -> {fewer}), 0)"
+    return f"CASE WHEN size({h}) > {size} THEN get(transform(array({gap}), g -> {bound}), 0) ELSE {h} END"
 
+
+def histogram_type(whole: bool) -> str:
+    return f"array<struct<x:{'bigint' if whole else 'double'},n:bigint>>"
+
+
+def inserted(entries: str, size: int, whole: bool = False, start: str | None = None) -> str:
+    """SQL: a bounded histogram (from `start`, else empty) after an array of (x, n), one entry after the other; size 0 keeps nothing."""
+    none = f"CAST(array() AS {histogram_type(whole)})"
     if size == 0:
-        return []
-    out = list(pairs)
-    i = bisect.bisect_left([p[0] for p in out], x)
-    if i < len(out) and out[i][0] == x:
-        out[i] = (x, out[i][1] + n)
-    else:
-        out.insert(i, (x, n))
-    while len(out) > size:
-        i = min(range(len(out) - 1), key=lambda j: out[j + 1][0] - out[j][0])
-        (a, m), (b, k) = out[i : i + 2]
-        whole = isinstance(a, int) and isinstance(b, int)
-        out[i : i + 2] = [((a * m + b * k) // (m + k) if whole else (a * m + b * k) / (m + k), m + k)]
-    return out
+        return none
+    # a new entry stands before equal ones
+    more = "concat(filter(acc, v -> v.x < e.x), array(e), filter(acc, v -> v.x >= e.x))"
+    return f"aggregate({entries}, {start or none}, (acc, e) -> get(transform(array({more}), h -> {closest_merged('h', size, whole)}), 0))"
+
 
+def merged(histograms: str, size: int, whole: bool = False) -> str:
+    """SQL: an array of bounded histograms as one: each is added whole, then the closest neighbours merge until the size is kept."""
+    none = f"CAST(array() AS {histogram_type(whole)})"
+    shrink = f"aggregate(sequence(1, size(s)), s, (acc, _) -> {closest_merged('acc', size, whole)})"
+    return f"aggregate({histograms}, {none}, (all_, h) -> get(transform(array(array_sort(concat(all_, h))), s -> CASE WHEN size(s) > {size} THEN {shrink} ELSE s END), 0))"
 
-def histogram(df: DataFrame, column: str, size: int) -> DataFrame:
-    """x, n of the bounded histogram that the built-in mergeable aggregate keeps."""
-    one = df.agg(F.expr(f"histogram_numeric(cast({column} as double), {size})").alias("h"))
-    return one.select(F.explode("h").alias("b")).select("b.x", F.col("b.y").alias("n"))
+
+def normalized(h: str, by: int) -> str:
+    """SQL: counts divided by a number, rounded down; what comes to nothing is left out."""
+    return f"filter(transform({h}, e -> named_struct('x', e.x, 'n', e.n div {by})), e -> e.n > 0)"
+
+
+def bounded(df: DataFrame, by: list[str], x: Column, size: int, parts: int = 16, whole: bool = False) -> DataFrame:
+    """by, h: a bounded histogram of each group's values.
+
+    Equal values are counted first. Each of `parts` parts of a group's values (by the whole number below a value)
+    is inserted in rising order with at most size + 1 entries at a time, and the parts' histograms merge in order; so a
+    group's work is spread, and what meets for a group is parts x size entries.
+    """
+    kind = "bigint" if whole else "double"
+    counts = df.select(*by, x.cast(kind).alias("x")).filter("x IS NOT NULL").groupBy(*by, "x").agg(F.count(F.lit(1)).alias("n"))
+    part = F.pmod(F.floor("x"), F.lit(parts)).alias("part")
+    each = counts.groupBy(*by, part).agg(F.sort_array(F.collect_list(F.struct("x", "n"))).alias("e"))
+    each = each.select(*by, "part", F.expr(inserted("e", size, whole)).alias("h"))
+    listed = each.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("part", "h"))).alias("p"))
+    return listed.select(*by, F.expr(merged("transform(p, q -> q.h)", size, whole)).alias("h"))
 
 
 def agglomerate(points, radius: float):

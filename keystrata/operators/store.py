@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -70,3 +72,13 @@ def delete_status(base: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     have = base.select(F.col(key).alias("_k")).distinct().withColumn("_held", F.lit(True))
     out = keys.select(key).distinct().join(have, F.col(key) == F.col("_k"), "left")
     return out.groupBy(F.when(F.col("_held"), "ok").otherwise("undef").alias("status")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def read_modify_write(df: DataFrame, value: str, read: Callable[[Column], Column], check: Callable[[Column], Column], write: Callable[[Column, Column], Column]) -> DataFrame:
+    """df with the value replaced where the check passes, and written, which says so.
+
+    read(value) is what of it the request looks at; check(seen) decides (null is no); write(value, seen) gives the new value.
+    """
+    seen = read(F.col(value))
+    ok = F.coalesce(check(seen), F.lit(False))
+    return df.withColumns({value: F.when(ok, write(F.col(value), seen)).otherwise(F.col(value)), "written": ok})

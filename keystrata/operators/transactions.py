@@ -34,8 +34,17 @@ def replay(ops: DataFrame, key: str, seq: str) -> DataFrame:
     """Final value and outcomes of each key's operations in order of seq.
 
     ops has op, arg, expected: write sets, add_on_nr adds (a missing number is 0), test_and_set sets
-    if the value is as expected. A key's operations are folded in the JVM as one ordered list.
+    if the value is as expected. Where a key has no test_and_set, its value is its last write and the
+    sum of what was added since, both partial aggregates, so such a key may hold any share of the rows. Only
+    operations that depend on the value before them have to be folded one after the other, as an ordered list.
     """
+    write, add = F.col("op") == "write", F.col("op") == "add_on_nr"
+    marks = ops.groupBy(key).agg(F.bool_or(F.col("op") == "test_and_set").alias("_tests"), F.max(F.when(write, F.struct(seq, F.col("arg").alias("_arg")))).alias("_w"), F.count(F.lit(1)).cast("int").alias("n"))
+    plain = marks.filter("NOT _tests")
+    since = ops.filter(add).join(plain, key).filter(F.col("_w").isNull() | (F.col(seq) > F.col("_w")[seq])).groupBy(key).agg(F.sum("arg").alias("_add"))
+    value = F.when(F.col("_add").isNull(), F.col("_w._arg")).otherwise(F.coalesce("_w._arg", F.lit(0.0)) + F.col("_add"))
+    done = plain.join(since, key, "left").select(key, value.alias("value"), F.lit(0).alias("failed"), "n")
+
     start = F.struct(F.lit(None).cast("double").alias("value"), F.lit(0).alias("failed"), F.lit(0).alias("n"))
 
     def step(acc: Column, o: Column) -> Column:
@@ -43,8 +52,16 @@ def replay(ops: DataFrame, key: str, seq: str) -> DataFrame:
         value = F.when(o["op"] == "add_on_nr", F.coalesce(acc["value"], F.lit(0.0)) + o["arg"]).when(fits & o["op"].isin("write", "test_and_set"), o["arg"]).otherwise(acc["value"])
         return F.struct(value.alias("value"), (acc["failed"] + F.when(fits, 0).otherwise(1)).alias("failed"), (acc["n"] + 1).alias("n"))
 
-    lists = ops.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(seq, "op", "arg", "expected"))).alias("ops"))
-    return lists.select(key, F.aggregate("ops", start, step).alias("r")).select(key, "r.value", "r.failed", "r.n")
+    tested = ops.join(marks.filter("_tests").select(key), key, "left_semi")
+    lists = tested.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(seq, "op", "arg", "expected"))).alias("ops"))
+    return done.unionByName(lists.select(key, F.aggregate("ops", start, step).alias("r")).select(key, "r.value", "r.failed", "r.n"))
+
+
+def results(ops: DataFrame, tx: str, seq: str, op: str) -> DataFrame:
+    """ops with ok (its list was taken) and result: of a list that commits before its end, or twice, every request is answered as aborted."""
+    lists = checked(ops, tx, seq, op)
+    aborted = F.when(F.col(op) == "commit", "fail abort").when(F.col(op) == "read", "fail not_found").otherwise("ok")
+    return ops.join(lists, tx).withColumn("result", F.when(F.col("ok"), "ok").otherwise(aborted))
 
 
 def checked(ops: DataFrame, tx: str, seq: str, op: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from keystrata.operators import lists as ls
+from keystrata.plans.oracle import bloom_sql, hex_part
 from keystrata.plans.registry import query, table
 
 LINES = "SELECT l_orderkey, list(l_partkey ORDER BY l_linenumber, l_partkey) AS parts FROM lineitem GROUP BY l_orderkey"
@@ -34,12 +35,14 @@ for _name, _start, _len, _slice in (
         return rows.select("l_orderkey", _flat(ls.sublist(F.col("parts"), F.lit(start), F.lit(length))).alias("part"), F.size("parts").cast("long").alias("n"))
 
 
-@query("f2_random_element")
+@query("f2_random_element", f"SELECT l_orderkey, parts[{hex_part('l_orderkey', 0)} % len(parts) + 1] AS element, len(parts) AS n FROM ({LINES})")
 def f2(spark, d):
-    """A random element of each list and the list's length; the seed makes it repeatable."""
+    """An element of each list, drawn by its key's hash so that a query can be repeated, and the list's length."""
+    from keystrata.operators.sketch import hashes
+
     rows = order_parts(spark, d)
-    place = F.floor(F.rand(7) * F.size("parts")).cast("int") + 1
-    return rows.select("l_orderkey", F.when(F.size("parts") > 0, F.element_at("parts", place)).alias("element"), F.size("parts").alias("n"))
+    n = F.size("parts").cast("long")
+    return rows.select("l_orderkey", F.when(n > 0, F.get("parts", (hashes(F.col("l_orderkey"), 1, "md5")[0] % n).cast("int"))).alias("element"), n.alias("n"))
 
 
 @query("f3_filter_and_value", "SELECT l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) AS revenue FROM lineitem WHERE l_shipdate >= TIMESTAMP '1997-01-01' AND l_quantity < 5")
@@ -87,6 +90,17 @@ def f8(spark, d):
     return rows.result("p_partkey", "p_name")
 
 
+@query("f8_failed_evaluation", "SELECT event_id FROM events WHERE TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) > 3 AND json_extract_string(props, '$.none') IS NULL")
+def f8_failed(spark, d):
+    """What can't be evaluated is false, and so is what compares with a variable that isn't there."""
+    from keystrata.operators.objects import ObjectQuery
+
+    rows = ObjectQuery(table(spark, d, "events"))
+    number, absent = F.get_json_object("props", "$.k").try_cast("long"), F.get_json_object("props", "$.none")
+    either = rows.where((number > 3) | (F.col("event_type").try_cast("long") > 0) | (absent == "x"))
+    return either.result("event_id")
+
+
 @query("f9_result_aliases", "SELECT s_name AS supplier, round(s_acctbal, 1) AS balance FROM supplier")
 def f9(spark, d):
     return table(spark, d, "supplier").select(F.col("s_name").alias("supplier"), F.round("s_acctbal", 1).alias("balance"))
@@ -123,12 +137,16 @@ def f13(spark, d):
     )
 
 
-@query("f14_bloom_filter", "SELECT count(*) AS missed FROM lineitem WHERE false")
+@query(
+    "f14_bloom_filter",
+    f"""SELECT big.o_orderkey IS NOT NULL AS member, hit, count(*) AS n FROM lineitem JOIN ({bloom_sql('SELECT o_orderkey AS x FROM orders WHERE o_totalprice > 250000', 'SELECT DISTINCT l_orderkey AS x FROM lineitem', 0.01)}) ON x = l_orderkey
+    LEFT JOIN (SELECT o_orderkey FROM orders WHERE o_totalprice > 250000) big ON big.o_orderkey = l_orderkey GROUP BY 1, 2""",
+)
 def f14(spark, d):
-    """A Bloom filter over big orders drops no line that it should keep."""
-    from keystrata.operators.sketch import bloom_contains, bloom_of
+    """A Bloom filter over big orders, applied to lines: positively it drops no line of theirs, negatively what it leaves is none."""
+    from keystrata.operators.sketch import bloom_of
 
-    big = table(spark, d, "orders").filter("o_totalprice > 250000")
-    bits = bloom_of(big, "o_orderkey", big.count(), 0.01)
-    lines = table(spark, d, "lineitem").join(big.select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_semi")
-    return lines.filter(~bloom_contains(bits, F.col("l_orderkey"))).agg(F.count(F.lit(1)).alias("missed"))
+    big = table(spark, d, "orders").filter("o_totalprice > 250000").select("o_orderkey")
+    marked = bloom_of(big, "o_orderkey", big.count(), 0.01, "md5").mark(table(spark, d, "lineitem").select("l_orderkey"), "l_orderkey", "hit")
+    member = marked.join(big.select(F.col("o_orderkey").alias("l_orderkey"), F.lit(True).alias("m")), "l_orderkey", "left")
+    return member.groupBy(F.coalesce("m", F.lit(False)).alias("member"), "hit").agg(F.count(F.lit(1)).alias("n"))

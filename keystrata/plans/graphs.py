@@ -8,17 +8,15 @@ from keystrata.operators.graph import closure
 from keystrata.plans.registry import query, table
 from keystrata.sources.scratch import materialize
 
-EDGES = "SELECT DISTINCT l_partkey AS src, (l_partkey * 31 + l_suppkey * 7) % (SELECT count(*) FROM part) + 1 AS dst FROM lineitem WHERE l_orderkey % 40 = 0"
+EDGES = "SELECT DISTINCT l_partkey AS src, (l_partkey * 31 + l_suppkey * 7) % (SELECT count(*) FROM part) + 1 AS dst FROM lineitem"
 
 
-ALL_EDGES = EDGES.removesuffix(" WHERE l_orderkey % 40 = 0")
-
-
-def edges(spark, d, where="l_orderkey % 40 = 0"):
-    """Links between parts that items derive; they have cycles."""
+def edges(spark, d):
+    """Links between parts that all items derive, written once for all rounds; they have cycles."""
     n = table(spark, d, "part").agg(F.count(F.lit(1)).alias("n"))
-    rows = table(spark, d, "lineitem").filter(where).join(F.broadcast(n))
-    return rows.select(F.col("l_partkey").alias("src"), ((F.col("l_partkey") * 31 + F.col("l_suppkey") * 7) % F.col("n") + 1).alias("dst")).distinct()
+    rows = table(spark, d, "lineitem").join(F.broadcast(n))
+    links = rows.select(F.col("l_partkey").alias("src"), ((F.col("l_partkey") * 31 + F.col("l_suppkey") * 7) % F.col("n") + 1).alias("dst"))
+    return materialize(links.distinct(), "edges")
 
 
 @query("g1_category_closure", f"WITH RECURSIVE e AS ({EDGES}), c(node) AS (SELECT CAST(1 AS BIGINT) UNION SELECT e.dst FROM c JOIN e ON e.src = c.node) SELECT node FROM c")
@@ -41,32 +39,6 @@ def g3(spark, d):
     return closure(edges(spark, d), spark.range(7, 8).select(F.col("id").alias("node")), 3)
 
 
-def all_edges(spark, d):
-    """The links of all items, written once for all rounds."""
-    return materialize(edges(spark, d, "true"), "edges")
-
-
-@query("g1_category_closure_whole", f"WITH RECURSIVE e AS ({ALL_EDGES}), c(node) AS (SELECT CAST(1 AS BIGINT) UNION SELECT e.dst FROM c JOIN e ON e.src = c.node) SELECT node FROM c")
-def g1_whole(spark, d):
-    """g1 over the links of all items; g1 to g3 themselves keep to the thinned links of their SQL."""
-    return closure(all_edges(spark, d), spark.range(1, 2).select(F.col("id").alias("node"))).select("node")
-
-
-@query("g2_child_map_closure_whole", f"WITH RECURSIVE e AS ({ALL_EDGES}), c(node) AS (SELECT src FROM e WHERE src <= 5 UNION SELECT e.dst FROM c JOIN e ON e.src = c.node) SELECT count(*) AS reached, CAST(sum(node) AS BIGINT) AS folded FROM c")
-def g2_whole(spark, d):
-    e = all_edges(spark, d)
-    start = e.filter("src <= 5").select(F.col("src").alias("node"))
-    return closure(e, start).agg(F.count(F.lit(1)).alias("reached"), F.sum("node").alias("folded"))
-
-
-@query(
-    "g3_bounded_expansion_whole",
-    f"WITH RECURSIVE e AS ({ALL_EDGES}), c(node, level) AS (SELECT CAST(7 AS BIGINT), 0 UNION SELECT e.dst, level + 1 FROM c JOIN e ON e.src = c.node WHERE level < 3) SELECT node, min(level) AS level FROM c GROUP BY node",
-)
-def g3_whole(spark, d):
-    return closure(all_edges(spark, d), spark.range(7, 8).select(F.col("id").alias("node")), 3)
-
-
 @query("g4_tree_maps", "SELECT r_name, count(DISTINCT n_name) AS children, string_agg(DISTINCT n_name, ',' ORDER BY n_name) AS names FROM region JOIN nation ON r_regionkey = n_regionkey JOIN customer ON c_nationkey = n_nationkey GROUP BY r_name")
 def g4(spark, d):
     r, n, c = (table(spark, d, x) for x in ("region", "nation", "customer"))

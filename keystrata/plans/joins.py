@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keystrata.operators import recon
 from keystrata.operators import store as st
 from keystrata.operators.intervals import bucket
-from keystrata.operators.ranks import numbered
+from keystrata.operators.ranks import numbered, of_key, running
 from keystrata.plans.registry import query, table
 
 A = "SELECT o_orderkey, o_custkey AS version, o_totalprice AS value, o_orderstatus AS status FROM orders WHERE o_orderkey % 10 <> 3"
@@ -81,50 +83,77 @@ def j7(spark, d):
 
 @query("j8_bloom_difference", f"SELECT o_orderkey, version FROM ({A}) a WHERE NOT EXISTS (SELECT 1 FROM ({B}) b WHERE b.o_orderkey = a.o_orderkey AND b.version = a.version)")
 def j8(spark, d):
-    """A Bloom filter as a table of words thins out the candidates for equality; the exact join decides."""
-    from keystrata.operators.sketch import bloom_size, bloom_table, positions
-
-    a, b = copy_a(spark, d).select("o_orderkey", "version"), copy_b(spark, d).select("o_orderkey", "version")
-    sign = F.xxhash64("o_orderkey", "version")
-    m, k = bloom_size(b.count(), 0.02)
-    words = bloom_table(b.select(sign.alias("h")), "h", m, k)
-    asked = a.withColumn("h", sign).withColumn("p", F.explode(positions(F.col("h"), m, k)))
-    asked = asked.withColumn("word", (F.col("p") / 64).cast("long")).join(words, "word", "left")
-    hit = F.call_function("shiftright", F.coalesce("bits", F.lit(0).cast("long")), (F.col("p") % 64).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1
-    maybe = asked.groupBy("o_orderkey", "version").agg(F.bool_and(hit).alias("maybe"))
+    """A Bloom filter thins out the candidates for equality, a row of it for each entry; the exact join decides about the rest."""
+    from keystrata.operators.sketch import bloom_of
+
+    a, b = (x.select("o_orderkey", "version").withColumn("h", F.xxhash64("o_orderkey", "version")) for x in (copy_a(spark, d), copy_b(spark, d)))
+    maybe = bloom_of(b, "h", b.count(), 0.02).mark(a, "h", "maybe").drop("h")
     sure = maybe.filter("NOT maybe").select("o_orderkey", "version")
-    return sure.unionByName(maybe.filter("maybe").select("o_orderkey", "version").join(b, ["o_orderkey", "version"], "left_anti"))
+    return sure.unionByName(maybe.filter("maybe").select("o_orderkey", "version").join(b.drop("h"), ["o_orderkey", "version"], "left_anti"))
+
+
+def trees(spark, d, fan=256, leaf=256):
+    """Both copies with the written levels of their trees, leaves first, and a key's leaf; as deep as the number and range of keys asks for."""
+    from keystrata.operators.sketch import merkle_levels, merkle_up
+    from keystrata.sources.scratch import materialize
+
+    copies = copy_a(spark, d), copy_b(spark, d)
+    lo, hi, n = copies[0].unionByName(copies[1].withColumn("status", F.lit(None).cast("string"))).agg(F.min("o_orderkey"), F.max("o_orderkey"), F.count(F.lit(1))).first()
+    lo, hi, depth = lo or 0, (hi or 0) + 1, 1
+    while fan**depth * leaf < n:
+        depth += 1
+    levels = []
+    for x in copies:
+        leaves = materialize(merkle_levels(x, "o_orderkey", "version", lo, hi, fan, depth)[0], "leaves")  # every level above is made of them
+        levels.append([leaves, *(materialize(u, "inner") for u in merkle_up(leaves, fan, depth))])
+    return copies, levels, F.floor((F.col("o_orderkey") - lo) * fan**depth / (hi - lo)).cast("long"), fan
+
+
+def within_leaves(copies, place, leaves):
+    """The exact differences of the copies in those leaves."""
+    near = [x.withColumn("bucket", place).join(leaves, "bucket", "left_semi") for x in copies]
+    return recon.compare(*near, "o_orderkey", "version")
 
 
 @query("j9_merkle_difference", DIFF)
 def j9(spark, d):
-    """Interval hashes from the top down; only buckets whose hashes differ are compared entry by entry."""
-    from keystrata.operators.sketch import merkle_levels, merkle_up
+    """Interval hashes from the top down, 256 children a step; only leaves whose hashes differ are compared entry by entry."""
     from keystrata.sources.scratch import materialize
 
-    lo, hi, fan, depth = 0, 1 << 24, 16, 3
-    sides = []
-    for x in (copy_a(spark, d), copy_b(spark, d)):
-        # the leaves are written once: every level above is made of them
-        levels = merkle_levels(x, "o_orderkey", "version", lo, hi, fan, depth)
-        leaves = materialize(levels[0], "leaves")
-        sides.append((x, [leaves, *merkle_up(leaves, fan, depth)]))
+    copies, levels, place, fan = trees(spark, d)
     open_ = None
-    for x, y in zip(reversed(sides[0][1]), reversed(sides[1][1]), strict=True):
+    for x, y in zip(reversed(levels[0]), reversed(levels[1]), strict=True):
         if open_ is not None:
             up = open_.select(F.col("bucket").alias("up"))
             x, y = (z.join(up, F.floor(F.col("bucket") / fan) == F.col("up"), "left_semi") for z in (x, y))
         both = x.select("bucket", F.col("hash").alias("ha")).join(y.select("bucket", F.col("hash").alias("hb")), "bucket", "full_outer")
         open_ = materialize(both.filter(~F.col("ha").eqNullSafe(F.col("hb"))).select("bucket"), "open")
-    place = F.floor((F.col("o_orderkey") - lo) * fan**depth / (hi - lo)).cast("long")
-    near = [x.withColumn("bucket", place).join(open_, "bucket", "left_semi") for x, _ in sides]
-    return recon.compare(*near, "o_orderkey", "version")
+    return within_leaves(copies, place, open_)
 
 
 @query("j10_approximate_tree", DIFF)
 def j10(spark, d):
-    """The exact tree comparison takes the packed tree's part."""
-    return j9(spark, d)
+    """A tree packed into two Bloom filters, one for its inner nodes and one for its leaves; the other side walks its own tree down
+    and skips what the filter holds. A node that the filter takes for its own by chance (rate: one in 100,000 nodes) hides its
+    differences; the filters are a few bits a node, where exact levels are a row a node."""
+    from keystrata.operators.sketch import bloom_of
+    from keystrata.sources.scratch import materialize
+
+    copies, levels, place, fan = trees(spark, d)
+    sign = F.xxhash64("depth", "bucket", "hash")
+    flat = [[x.select(F.lit(i).alias("depth"), "bucket", "hash").withColumn("sign", sign) for i, x in enumerate(side)] for side in levels]
+    found = []
+    for own, other in ((flat[0], flat[1]), (flat[1], flat[0])):
+        inner = reduce(DataFrame.unionByName, other[1:])
+        packed = [bloom_of(x, "sign", x.count(), 1e-5) for x in (inner, other[0])]
+        open_ = None
+        for i in range(len(own) - 1, -1, -1):
+            x = own[i]
+            if open_ is not None:
+                x = x.join(open_.select(F.col("bucket").alias("up")), F.floor(F.col("bucket") / fan) == F.col("up"), "left_semi")
+            open_ = materialize(packed[0 if i else 1].mark(x, "sign", "held").filter("NOT held").select("bucket"), "open")
+        found.append(open_)
+    return within_leaves(copies, place, found[0].unionByName(found[1]).distinct())
 
 
 RESOLVED = f"""SELECT o_orderkey, CASE WHEN a.version IS NULL OR (a.version < b.version AND a.status <> 'F') THEN b.version ELSE a.version END AS version,
@@ -152,24 +181,16 @@ def j13(spark, d):
     return as_of(nodes.unionByName(keys), "k", ["kind"], "owner").filter("kind = 1").select(F.col("k").alias("o_orderkey"), "owner")
 
 
-def as_of(rows, key, ties, value, ranges=4096):
-    """Last known value up to each row, in key order, by equal ranges of the key: a range begins with the last value of the ranges before it.
-
-    However many rows there are, only a row for each of a fixed number of ranges meets in one task.
-    """
-    lo, hi = rows.agg(F.min(key), F.max(key)).first()
-    span = max(1, -(-((hi or 0) - (lo or 0) + 1) // ranges))
-    rows = rows.withColumn("_range", F.floor((F.col(key) - F.lit(lo or 0)) / span).cast("int"))
-    heads = rows.groupBy("_range").agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.struct(key, *ties))).alias("_last"))
-    carried = heads.select("_range", F.last("_last", True).over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)).alias("_carried"))
-    inside = F.last(value, True).over(W.partitionBy("_range").orderBy(key, *ties).rowsBetween(W.unboundedPreceding, 0))
-    return rows.join(F.broadcast(carried), "_range").withColumn(value, F.coalesce(inside, F.col("_carried"))).drop("_range", "_carried")
+def as_of(rows, key, ties, value):
+    """Last known value up to each row, in key order: each piece of a range sort begins with the last value of the pieces before it."""
+    known = F.when(F.col(value).isNotNull(), F.struct(key, *ties, F.col(value).alias("_value")))
+    return running(rows, [key, *ties], {"_known": (F.max, known)}).withColumn(value, F.col("_known._value")).drop("_known")
 
 
-@query("j14_bucketize", "SELECT CAST(floor((o_totalprice - 0) / 50000) + 1 AS BIGINT) AS bucket, count(*) AS n FROM orders WHERE o_totalprice < 500000 GROUP BY 1")
+@query("j14_bucketize", "SELECT CAST(least(floor((o_totalprice - 0) / 50000), 10) + 1 AS BIGINT) AS bucket, count(*) AS n FROM orders GROUP BY 1")
 def j14(spark, d):
-    rows = table(spark, d, "orders").filter("o_totalprice < 500000")
-    return rows.groupBy(bucket(F.col("o_totalprice"), 0, 500000, 10).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    """Ten parts of [0, 500000); what lies beyond is in an eleventh."""
+    return table(spark, d, "orders").groupBy(bucket(F.col("o_totalprice"), 0, 500000, 10).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("j15_replica_in_interval", "SELECT o_orderkey, r, o_orderkey + r * 20000 AS replica FROM orders, (VALUES (0), (1), (2), (3)) t(r) WHERE o_orderkey + r * 20000 BETWEEN 15000 AND 42000")
@@ -265,9 +286,9 @@ def j23(spark, d):
 def j24(spark, d):
     """The largest key before each search key, by one ordered sweep a user."""
     e = table(spark, d, "events").filter("event_type IN ('purchase', 'view')")
-    seen = F.last(F.when(F.col("event_type") == "view", F.col("event_id")), True)
-    by = W.partitionBy("user_id").orderBy("event_id").rowsBetween(W.unboundedPreceding, -1)
-    return e.withColumn("before", seen.over(by)).filter("event_type = 'purchase'").select("event_id", "before")
+    seen = F.when(F.col("event_type") == "view", F.struct("user_id", "event_id"))
+    rows = running(e.select("user_id", "event_id", "event_type"), ["user_id", "event_id"], {"seen": (F.max, seen)}, inclusive=False)
+    return rows.filter("event_type = 'purchase'").select("event_id", of_key("seen", "user_id", "event_id").alias("before"))
 
 
 @query(

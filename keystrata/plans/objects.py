@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import functions as F
 
+from keystrata.plans.oracle import hex_part
 from keystrata.plans.registry import query, table
 
 
@@ -85,27 +86,29 @@ def x2(spark, d):
     return rows.mapInPandas(ends, "k string, v double").groupBy("k").applyInPandas(span, "k string, v double")
 
 
-@query("x6_read_modify_write", "SELECT c_custkey, CASE WHEN c_acctbal >= 0 THEN upper(c_name) ELSE c_name END AS value, c_acctbal >= 0 AS written FROM customer")
+@query("x6_read_modify_write", "SELECT c_custkey, CASE WHEN c_acctbal >= 0 THEN upper(c_name) || round(c_acctbal, 0) ELSE c_name END AS value, c_acctbal >= 0 AS written FROM customer")
 def x6(spark, d):
-    """A read filter, a check and a write filter as one pass over Arrow batches."""
+    """A read filter, a check of what it gave, and a write filter that sees both."""
+    from keystrata.operators.store import read_modify_write
 
-    def change(name: pd.Series, balance: pd.Series) -> pd.Series:
-        return name.where(balance < 0, name.str.upper())
-
-    rows = table(spark, d, "customer")
-    return rows.select("c_custkey", F.pandas_udf(change, "string")("c_name", "c_acctbal").alias("value"), (F.col("c_acctbal") >= 0).alias("written"))
+    rows = table(spark, d, "customer").select("c_custkey", F.struct("c_name", "c_acctbal").alias("value"))
+    shout = lambda v, seen: F.struct(F.concat(F.upper(v["c_name"]), F.round(seen, 0).cast("string")).alias("c_name"), v["c_acctbal"].alias("c_acctbal"))
+    return read_modify_write(rows, "value", lambda v: v["c_acctbal"], lambda seen: seen >= 0, shout).select("c_custkey", "value.c_name", "written").withColumnRenamed("c_name", "value")
 
 
 @query("x8_custom_slot", "SELECT time_bucket(INTERVAL '1 day', ts) AS slot, max(value) - min(value) AS span FROM events GROUP BY 1")
 def x8(spark, d):
     """A slot function of one's own: mergeable parts and a finish."""
-    from keystrata.operators.series import slot_of
+    from keystrata.operators.series import custom, slot_of
 
-    return table(spark, d, "events").groupBy(slot_of("ts", "1 day").alias("slot")).agg((F.max("value") - F.min("value")).alias("span"))
+    return custom(table(spark, d, "events"), slot_of("ts", "1 day"), {"low": F.min("value"), "high": F.max("value")}, lambda p: p["high"] - p["low"], "span")
 
 
-@query("m9_random_values", "SELECT 100 AS n, true AS inside")
+@query("m9_random_values", f"SELECT c_custkey, {hex_part('c_custkey', 0)} / 4294967296 AS fraction, {hex_part('c_custkey', 1)} % 90 + 10 AS between_, substr(md5(CAST(c_custkey AS VARCHAR)), 17, 8) AS text FROM customer")
 def m9(spark, d):
-    """Random numbers and texts from a seed."""
-    rows = spark.range(100).select(F.rand(5).alias("x"), F.randstr(8, 5).alias("s"))
-    return rows.agg(F.count(F.lit(1)).cast("int").alias("n"), F.bool_and((F.col("x") >= 0) & (F.col("x") < 1) & (F.length("s") == 8)).alias("inside"))
+    """A random fraction, whole number of [10, 100) and text for each key; the key is the seed, so a task that runs again draws the same."""
+    from keystrata.operators.sketch import hashes
+
+    a, b = hashes(F.col("c_custkey"), 2, "md5")
+    text = F.substring(F.md5(F.col("c_custkey").cast("string").cast("binary")), 17, 8)
+    return table(spark, d, "customer").select("c_custkey", (a / 4294967296).alias("fraction"), (b % 90 + 10).alias("between_"), text.alias("text"))

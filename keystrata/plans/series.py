@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from keystrata.operators import series as sr
+from keystrata.operators import sketch as sk
+from keystrata.plans.oracle import HISTOGRAM, bounded_sql, merge_once
 from keystrata.plans.registry import query, table
 
 HOUR = "time_bucket(INTERVAL '1 hour', ts)"
@@ -39,23 +41,34 @@ def w4(spark, d):
     return out.withColumns({"sum": F.round("sum", 4), "sum2": F.round("sum2", 4)})
 
 
-HELD = "CAST(sum(1) AS BIGINT) AS held"
+SLOTTED = f"SELECT {HOUR} AS slot, {{}} AS x FROM events"
+AS_TEXT = "list_aggregate(list_transform(h, lambda e: CAST(e.x AS VARCHAR) || ':' || e.n), 'string_agg', ',')"
 
 
-def held(size: int):
-    """What a slot's bounded histogram counts in all: merging its buckets loses nothing."""
-    return F.aggregate(F.expr(f"histogram_numeric(value, {size})"), F.lit(0.0), lambda a, b: a + b["y"]).cast("long").alias("held")
+def as_text(h: str):
+    """A histogram of whole numbers as x:n, comma-joined."""
+    return F.array_join(F.transform(h, lambda e: F.concat_ws(":", e["x"], e["n"])), ",")
 
 
-@query("w5_timing_histogram", f"SELECT {HOUR} AS slot, min(value) AS least, max(value) AS most, count(*) AS n, {HELD} FROM events GROUP BY 1")
+@query("w5_timing_histogram", f"SELECT t.*, {AS_TEXT} AS histogram FROM ({TIMING}) t JOIN ({bounded_sql(SLOTTED.format('CAST(floor(value * 10) AS BIGINT)'), 'slot', 20, whole=True)}) USING (slot)")
 def w5(spark, d):
-    """Timing values with a bounded histogram of each slot."""
-    return hours(spark, d).groupBy("slot").agg(*sr.timing("value"), held(20)).select("slot", "least", "most", "n", "held")
+    """Timing values with a bounded histogram (of tenths) of each slot."""
+    rows = hours(spark, d)
+    out = rows.groupBy("slot").agg(*sr.timing("value")).join(sk.bounded(rows, ["slot"], F.floor(F.col("value") * 10), 20, whole=True), "slot")
+    return out.select("slot", F.round("sum", 4).alias("sum"), F.round("sum2", 4).alias("sum2"), "n", "least", "most", as_text("h").alias("histogram"))
 
 
-@query("w6_histogram", f"SELECT {HOUR} AS slot, {HELD} FROM events GROUP BY 1")
+@query("w6_histogram", f"SELECT slot, round(e.x, 4) AS x, e.n AS n FROM (SELECT slot, unnest(h) AS e FROM ({bounded_sql(SLOTTED.format('value'), 'slot', 10)}))")
 def w6(spark, d):
-    return hours(spark, d).groupBy("slot").agg(held(10))
+    h = sk.bounded(hours(spark, d), ["slot"], F.col("value"), 10)
+    return h.select("slot", F.explode("h").alias("e")).select("slot", F.round("e.x", 4).alias("x"), F.col("e.n").alias("n"))
+
+
+@query("w6_ring_histogram", f"SELECT slot, (e.x + 30) % 1000 AS key, e.n AS n FROM (SELECT slot, unnest(h) AS e FROM ({bounded_sql(SLOTTED.format('(user_id % 1000 - 30 + 1000) % 1000'), 'slot', 8, whole=True)}))")
+def w6_ring(spark, d):
+    """Keys of each slot around a ring of a thousand, as distances from key 30 while they are merged."""
+    h = sk.bounded(hours(spark, d), ["slot"], F.pmod(F.col("user_id") % 1000 - 30, F.lit(1000)), 8, whole=True)
+    return h.select("slot", F.explode("h").alias("e")).select("slot", ((F.col("e.x") + 30) % 1000).alias("key"), F.col("e.n").alias("n"))
 
 
 @query(
@@ -149,6 +162,37 @@ def a10(spark, d):
     return sr.merge(first, second, [], "slot", "v", "gauge")
 
 
+HALVES = "(SELECT *, event_type = 'view' AS own FROM events WHERE event_id % 5 <> 0 OR event_type = 'view')"
+
+
+@query(
+    "a10_merge_kinds",
+    f"""SELECT slot, round(sum(value), 4) AS counter, string_agg(event_id, ',' ORDER BY ts, event_id) AS event, round(sum(value * value), 4) AS sum2, count(*) AS n, min(value) AS least, max(value) AS most
+    FROM (SELECT *, {HOUR} AS slot FROM {HALVES}) GROUP BY slot""",
+)
+def a10_kinds(spark, d):
+    """Two series merged kind by kind: counters and timings from both, events as one list without repeats."""
+    rows = hours(spark, d).filter("event_id % 5 <> 0 OR event_type = 'view'")
+    own, other = rows.filter("event_type = 'view'"), rows.filter("event_type <> 'view'")
+    each = lambda x: x.groupBy("slot").agg(sr.event("ts", "event_id").alias("event"), *sr.timing("value"))
+    both = each(own).unionByName(each(other)).groupBy("slot").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("event")))).alias("event"), *sr.combine_timing())
+    return both.select("slot", F.round("sum", 4).alias("counter"), F.array_join(F.transform("event", lambda e: e["event_id"].cast("string")), ",").alias("event"), F.round("sum2", 4).alias("sum2"), "n", "least", "most")
+
+
+@query(
+    "a10_merge_histograms",
+    f"""WITH h AS ({bounded_sql(f"SELECT {HOUR} AS slot, own, CAST(floor(value * 10) AS BIGINT) AS x FROM {HALVES}", 'slot, own', 6, whole=True)})
+    SELECT slot, {AS_TEXT} AS histogram FROM (SELECT slot, list_reduce(list(h ORDER BY own DESC), lambda a, h: list_reduce(list_concat([list_sort(list_concat(a, h))], list_transform(range(6), lambda _: CAST([] AS {HISTOGRAM.format('BIGINT')}))),
+    lambda b, _: {merge_once('b', 6, True)})) AS h FROM h GROUP BY slot)""",
+)
+def a10_histograms(spark, d):
+    """The second series' histograms added to the first one's, slot by slot."""
+    rows = hours(spark, d).filter("event_id % 5 <> 0 OR event_type = 'view'").withColumn("own", (F.col("event_type") != "view").cast("int"))
+    h = sk.bounded(rows, ["slot", "own"], F.floor(F.col("value") * 10), 6, whole=True)
+    both = h.groupBy("slot").agg(F.sort_array(F.collect_list(F.struct("own", "h"))).alias("p"))
+    return both.select("slot", F.expr(sk.merged("transform(p, q -> q.h)", 6, True)).alias("h")).select("slot", as_text("h").alias("histogram"))
+
+
 @query("a11_combine_slots", "SELECT time_bucket(INTERVAL '1 day', ts) AS slot, round(sum(value), 4) AS sum, count(*) AS n, min(value) AS least, max(value) AS most FROM events GROUP BY 1")
 def a11(spark, d):
     """Days from the hours' partials, not from the rows."""
@@ -175,9 +219,21 @@ def a13(spark, d):
     return hours(spark, d).groupBy("slot").agg((sr.gauge("value", "event_id") / 1000).alias("v"))
 
 
-@query("a9_slot_types", f"SELECT event_type, {HOUR} AS slot, arg_max(value, event_id) AS gauge, round(sum(value), 4) AS counter, count(*) AS n FROM events GROUP BY 1, 2")
+TENTHS = f"SELECT event_type, {HOUR} AS slot, CAST(floor(value * 10) AS BIGINT) AS x FROM events"
+
+
+@query(
+    "a9_slot_types",
+    f"""SELECT s.*, {AS_TEXT} AS histogram FROM (SELECT event_type, {HOUR} AS slot, arg_max(value, event_id) AS gauge, round(sum(value), 4) AS counter, string_agg(event_id, ',' ORDER BY ts, event_id) AS event,
+    round(sum(value * value), 4) AS sum2, count(*) AS n, min(value) AS least, max(value) AS most FROM events GROUP BY 1, 2) s JOIN ({bounded_sql(TENTHS, 'event_type, slot', 5, whole=True)}) USING (event_type, slot)""",
+)
 def a9(spark, d):
-    return hours(spark, d).groupBy("event_type", "slot").agg(sr.gauge("value", "event_id").alias("gauge"), F.round(sr.counter("value"), 4).alias("counter"), F.count(F.lit(1)).alias("n"))
+    """Every kind of slot value at once: gauge, counter, events, timing, and a bounded histogram."""
+    rows = hours(spark, d)
+    timing = {c.strip(): F.col(c) for c in ("n", "least", "most")}
+    out = rows.groupBy("event_type", "slot").agg(sr.gauge("value", "event_id").alias("gauge"), F.array_join(F.transform(sr.event("ts", "event_id"), lambda e: e["event_id"].cast("string")), ",").alias("event"), *sr.timing("value"))
+    out = out.join(sk.bounded(rows, ["event_type", "slot"], F.floor(F.col("value") * 10), 5, whole=True), ["event_type", "slot"])
+    return out.select("event_type", "slot", "gauge", F.round("sum", 4).alias("counter"), "event", F.round("sum2", 4).alias("sum2"), *timing, as_text("h").alias("histogram"))
 
 
 @query("w14_report_closed", f"SELECT slot, n FROM (SELECT {HOUR} AS slot, count(*) AS n FROM events GROUP BY 1) WHERE slot < (SELECT max({HOUR}) FROM events)")

@@ -49,46 +49,19 @@ def u3(spark, d):
 
 @query(
     "u4_interval_relations",
-    f"SELECT a.lo AS alo, b.lo AS blo, a.lo >= b.lo AND a.hi <= b.hi AS subset, a.hi = b.lo OR b.hi = a.lo AS adjacent, a.hi < b.lo AS left_of FROM ({SPANS}) a JOIN ({SPANS_B}) b USING (g) WHERE g < 200",
-)
-def u4(spark, d, where="g < 200"):
-    a = spans(spark, d).filter(where).select("g", F.col("lo").alias("alo"), F.col("hi").alias("ahi"))
-    b = spans_b(spark, d).select("g", F.col("lo").alias("blo"), F.col("hi").alias("bhi"))
-    return a.join(b, "g").select(
-        "alo", "blo", ((F.col("alo") >= F.col("blo")) & (F.col("ahi") <= F.col("bhi"))).alias("subset"), ((F.col("ahi") == F.col("blo")) | (F.col("bhi") == F.col("alo"))).alias("adjacent"), (F.col("ahi") < F.col("blo")).alias("left_of")
-    )
-
-
-@query(
-    "u4_interval_relations_whole",
-    f"SELECT a.lo AS alo, b.lo AS blo, a.lo >= b.lo AND a.hi <= b.hi AS subset, a.hi = b.lo OR b.hi = a.lo AS adjacent, a.hi < b.lo AS left_of FROM ({SPANS}) a JOIN ({SPANS_B}) b USING (g)",
-)
-def u4_whole(spark, d):
-    """The pairs of all customers, as many rows as there are pairs; u4_interval_relations itself keeps to the customers of its SQL."""
-    return u4(spark, d, "true")
-
-
-@query(
-    "u4_interval_relations_swept",
     f"""SELECT a.g, a.lo AS alo, coalesce(bool_or(a.lo >= b.lo AND a.hi <= b.hi), false) AS subset, coalesce(bool_or(a.hi = b.lo OR b.hi = a.lo), false) AS adjacent,
     coalesce(bool_or(a.hi < b.lo), false) AS left_of FROM ({SPANS}) a LEFT JOIN ({SPANS_B}) b USING (g) GROUP BY a.g, a.lo, a.hi""",
 )
-def u4_swept(spark, d):
+def u4(spark, d):
     """Whether an interval lies in, touches, or is left of some interval of the other set, for all customers without their pairs."""
     return iv.relations(spans(spark, d), spans_b(spark, d), ["g"], "lo", "hi").select("g", F.col("lo").alias("alo"), "subset", "adjacent", "left_of")
 
 
-@query("u5_constructors", "SELECT o_orderkey, false AS open_, false AS half, o_orderkey = 40 AS single, true AS whole, o_orderkey > 30 AND o_orderkey < 50 AS between_ FROM orders WHERE o_orderkey < 100")
-def u5(spark, d, where="o_orderkey < 100"):
+@query("u5_constructors", "SELECT o_orderkey, false AS open_, false AS half, o_orderkey = 40 AS single, true AS whole, o_orderkey > 30 AND o_orderkey < 50 AS between_ FROM orders")
+def u5(spark, d):
     k = F.col("o_orderkey")
     kinds = {"open_": iv.Interval(40, 40, False, False), "half": iv.Interval(40, 40, True, False), "single": iv.Interval(40, 40), "whole": iv.Interval(None, None), "between_": iv.Interval(30, 50, False, False)}
-    return table(spark, d, "orders").filter(where).select("o_orderkey", *(v.test(k).alias(n) for n, v in kinds.items()))
-
-
-@query("u5_constructors_whole", "SELECT o_orderkey, false AS open_, false AS half, o_orderkey = 40 AS single, true AS whole, o_orderkey > 30 AND o_orderkey < 50 AS between_ FROM orders")
-def u5_whole(spark, d):
-    """u5_constructors over the whole table; u5_constructors itself keeps to the rows of its SQL."""
-    return u5(spark, d, "true")
+    return table(spark, d, "orders").select("o_orderkey", *(v.test(k).alias(n) for n, v in kinds.items()))
 
 
 @query("u6_interval_split", "SELECT i AS part, 1000 * i // 7 AS lo, 1000 * (i + 1) // 7 AS hi, (SELECT count(*) FROM orders WHERE o_orderkey >= 1000 * i // 7 AND o_orderkey < 1000 * (i + 1) // 7) AS n FROM (SELECT unnest(range(7)) AS i)")

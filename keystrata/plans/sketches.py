@@ -5,35 +5,59 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from keystrata.operators import sketch as sk
+from keystrata.plans.oracle import HISTOGRAM, bloom_sql, bounded_sql, hex_part, merge_once
 from keystrata.plans.registry import query, table
 
 
-@query("a14_bounded_histogram")
+def entries(df, *by):
+    """A row for each of a histogram's entries."""
+    return df.select(*by, F.explode("h").alias("e")).select(*by, F.round("e.x", 4).alias("x"), F.col("e.n").alias("n"))
+
+
+def entries_sql(h: str, by: str = "") -> str:
+    group = f"{by}, " if by else ""
+    return f"SELECT {group}round(e.x, 4) AS x, e.n AS n FROM (SELECT {group}unnest(h) AS e FROM ({h}))"
+
+
+@query("a14_bounded_histogram", entries_sql(bounded_sql("SELECT l_extendedprice AS x FROM lineitem", "", 20)))
 def a14(spark, d):
-    return sk.histogram(table(spark, d, "lineitem"), "l_extendedprice", 20)
+    return entries(sk.bounded(table(spark, d, "lineitem"), [], F.col("l_extendedprice"), 20))
 
 
-@query("a14_histogram_total", "SELECT count(*) AS n FROM lineitem")
-def a14_total(spark, d):
-    """Merging buckets loses no count."""
-    return sk.histogram(table(spark, d, "lineitem"), "l_extendedprice", 20).agg(F.sum("n").cast("long").alias("n"))
+@query("a14_whole_numbers", entries_sql(bounded_sql("SELECT l_partkey AS x FROM lineitem", "", 12, whole=True)))
+def a14_whole(spark, d):
+    """Whole values stay whole: means are divided without a rest."""
+    return entries(sk.bounded(table(spark, d, "lineitem"), [], F.col("l_partkey"), 12, whole=True))
 
 
-@query("a15_histogram_merge", "SELECT x, CAST(sum(n) AS BIGINT) AS n FROM (SELECT l_quantity AS x, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1 UNION ALL SELECT l_quantity, count(*) * 2 FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1) GROUP BY x")
+FLAGGED = "SELECT l_returnflag AS g, l_quantity AS x FROM lineitem WHERE l_returnflag IN ('A', 'R')"
+
+
+@query(
+    "a15_histogram_merge",
+    f"""WITH h AS ({bounded_sql(FLAGGED, 'g', 10)}), m AS (SELECT list_reduce([a.h, list_transform(b.h, lambda e: {{'x': e.x, 'n': e.n * 2}})], lambda a, h: list_reduce(list_concat([list_sort(list_concat(a, h))],
+    list_transform(range(10), lambda _: CAST([] AS {HISTOGRAM.format('DOUBLE')}))), lambda b, _: {merge_once('b', 10, False)})) AS h FROM (SELECT h FROM h WHERE g = 'R') a, (SELECT h FROM h WHERE g = 'A') b)
+    {entries_sql("SELECT list_filter(list_transform(h, lambda e: {'x': e.x, 'n': e.n // 3}), lambda e: e.n > 0) AS h FROM m")}""",
+)
 def a15(spark, d):
-    """Two histograms, the second with twice the weight; values that are alike add up."""
-    li = table(spark, d, "lineitem")
-    a, b = (li.filter(f"l_returnflag = '{f}'").groupBy(F.col("l_quantity").alias("x")).agg((F.count(F.lit(1)) * w).alias("n")) for f, w in (("R", 1), ("A", 2)))
-    return a.unionByName(b).groupBy("x").agg(F.sum("n").alias("n"))
+    """Two bounded histograms, the second with twice the weight, merged and normalised by three."""
+    h = sk.bounded(table(spark, d, "lineitem").filter("l_returnflag IN ('A', 'R')"), ["l_returnflag"], F.col("l_quantity"), 10)
+    first, second = (h.filter(f"l_returnflag = '{f}'").select(F.col("h").alias(f)) for f in "RA")
+    both = first.crossJoin(second)  # a row each
+    weighted = "transform(A, e -> named_struct('x', e.x, 'n', e.n * 2))"
+    return entries(both.select(F.expr(sk.merged(f"array(R, {weighted})", 10)).alias("h")).select(F.expr(sk.normalized("h", 3)).alias("h")))
+
+
+RING = "SELECT (o_orderkey - 5000 + m) % m AS x FROM orders, (SELECT (max(o_orderkey) // 20000 + 1) * 20000 AS m FROM orders)"
 
 
-@query("a17_ring_histogram", "SELECT CAST(floor(((o_orderkey - 5000 + 20000) % 20000) / 1000) AS BIGINT) AS part, count(*) AS n FROM orders WHERE o_orderkey < 20000 GROUP BY 1")
+@query("a17_ring_histogram", f"SELECT (e.x + 5000) % m AS key, e.n AS n FROM (SELECT unnest(h) AS e FROM ({bounded_sql(RING, '', 16, whole=True)})), (SELECT (max(o_orderkey) // 20000 + 1) * 20000 AS m FROM orders)")
 def a17(spark, d):
-    """Values as distances from a base key around a ring of as many times 20,000 as hold all keys; the SQL's ring is the first, so it agrees up to sf0.01 only."""
+    """A bounded histogram of keys by their distance from a base key around a ring of as many times 20,000 as hold all keys; its entries are keys again."""
     rows = table(spark, d, "orders").select("o_orderkey")
-    ring = rows.agg(((F.floor(F.max("o_orderkey") / 20000) + 1) * 20000).alias("ring"))
-    away = F.pmod(F.col("o_orderkey") - 5000, F.col("ring"))
-    return rows.join(F.broadcast(ring)).groupBy(F.floor(away / 1000).alias("part")).agg(F.count(F.lit(1)).alias("n"))
+    ring = F.broadcast(rows.agg(((F.floor(F.max("o_orderkey") / 20000) + 1) * 20000).alias("m")))
+    h = sk.bounded(rows.join(ring), [], F.pmod(F.col("o_orderkey") - 5000, F.col("m")), 16, whole=True)
+    return h.join(ring).select(F.explode("h").alias("e"), "m").select(((F.col("e.x") + 5000) % F.col("m")).alias("key"), F.col("e.n").alias("n"))
 
 
 @query("a29_merkle_counters", "SELECT (SELECT count(*) FROM orders) AS items, (SELECT count(DISTINCT o_orderkey // 256) FROM orders) AS leaves, (SELECT count(DISTINCT o_orderkey // 4096) FROM orders) AS inner_nodes")
@@ -43,36 +67,28 @@ def a29(spark, d):
     return leaves.join(levels[1].agg(F.count(F.lit(1)).alias("inner_nodes"))).select("items", "leaves", "inner_nodes")
 
 
-@query("a30_bloom_rate", "SELECT true AS within, 0 AS missed")
+@query("a30_bloom_rate", f"SELECT x % 3 = 0 AS member, count(*) AS n, count(*) FILTER (WHERE hit) AS hits FROM ({bloom_sql('SELECT c_custkey AS x FROM customer WHERE c_custkey % 3 = 0', 'SELECT c_custkey AS x FROM customer', 0.05)}) GROUP BY 1")
 def a30(spark, d):
-    """A filter over one customer in three finds all of them, and not many more than its rate of the others."""
+    """A filter over one customer in three: it holds all of them, and some of the others by chance."""
     c = table(spark, d, "customer").select("c_custkey")
     held = c.filter("c_custkey % 3 = 0")
-    b = sk.bloom_of(held, "c_custkey", held.count(), 0.05)
-    hit = sk.bloom_contains(b, F.col("c_custkey"))
-    member = F.col("c_custkey") % 3 == 0
-    rates = c.agg(F.count_if(member & ~hit).alias("missed"), (F.count_if(~member & hit) / F.count_if(~member)).alias("rate"))
-    return rates.select((F.col("rate") < 0.1).alias("within"), F.col("missed").cast("int").alias("missed"))
+    hit = sk.bloom_of(held, "c_custkey", held.count(), 0.05, "md5").mark(c, "c_custkey", "hit")
+    return hit.groupBy((F.col("c_custkey") % 3 == 0).alias("member")).agg(F.count(F.lit(1)).alias("n"), F.count_if("hit").alias("hits"))
 
 
-@query("a31_counting_bloom", "SELECT CAST(4 * (SELECT count(*) FROM customer WHERE c_custkey % 2 = 1) AS BIGINT) AS total")
+@query("a31_counting_bloom", f"SELECT p AS pos, count(*) AS n FROM (SELECT ({hex_part('c_custkey', 0)} % 16384 + i * ({hex_part('c_custkey', 1)} % 16383 + 1)) % 16384 AS p FROM customer, (SELECT unnest(range(4)) AS i) WHERE c_custkey % 2 = 1) GROUP BY 1")
 def a31(spark, d):
     """Additions less removals: what was removed again leaves nothing."""
     c = table(spark, d, "customer").select("c_custkey")
     both = c.withColumn("s", F.lit(1)).unionByName(c.filter("c_custkey % 2 = 0").withColumn("s", F.lit(-1)))
-    return sk.counting_bloom(both, "c_custkey", 1 << 14, 4, F.col("s")).agg(F.sum("n").alias("total"))
+    return sk.counting_bloom(both, "c_custkey", 1 << 14, 4, F.col("s"), "md5")
 
 
 @query("a32_invertible_sketch", "SELECT o_orderkey AS x, CASE WHEN o_orderkey % 101 = 0 THEN 1 ELSE -1 END AS side FROM orders WHERE (o_orderkey % 101 = 0) <> (o_orderkey % 103 = 0)")
 def a32(spark, d):
-    """The keys in which two stores differ, from sketches of their difference's size."""
-    o = table(spark, d, "orders").select("o_orderkey")
-    size = 4 * int(o.count() / 100) + 64
-    a, b = (sk.iblt(o.filter(f"o_orderkey % {m} <> 0"), "o_orderkey", size) for m in (103, 101))
-    found, empty = sk.iblt_entries(sk.iblt_minus(a, b), size)
-    if not empty:
-        raise ValueError("the sketch is too small")
-    return found.select("x", F.col("side").cast("int").alias("side"))
+    """The keys in which two stores differ, from sketches that double until they hold their difference."""
+    a, b = (table(spark, d, "orders").select("o_orderkey").filter(f"o_orderkey % {m} <> 0") for m in (103, 101))
+    return sk.iblt_difference(a, b, "o_orderkey", 64).select("x", F.col("side").cast("int").alias("side"))
 
 
 @query("a33_clustering")

@@ -22,6 +22,19 @@ def t1(spark, d):
     return tx.checked(o, "user_id", "event_id", "op")
 
 
+@query(
+    "t1_aborted_results",
+    """SELECT e.user_id, event_id, op, CASE WHEN ok THEN 'ok' WHEN op = 'commit' THEN 'fail abort' WHEN op = 'read' THEN 'fail not_found' ELSE 'ok' END AS result FROM
+    (SELECT user_id, event_id, CASE WHEN event_id % 97 = 0 THEN 'commit' WHEN event_id % 2 = 0 THEN 'write' ELSE 'read' END AS op FROM events) e JOIN
+    (SELECT user_id, count(*) FILTER (WHERE c) = 0 OR (count(*) FILTER (WHERE c) = 1 AND max(event_id) FILTER (WHERE c) = max(event_id)) AS ok FROM (SELECT *, event_id % 97 = 0 AS c FROM events) GROUP BY user_id) USING (user_id)""",
+)
+def t1_results(spark, d):
+    """What each request of an aborted list is answered."""
+    k = F.col("event_id")
+    o = table(spark, d, "events").select("user_id", "event_id", F.when(k % 97 == 0, "commit").when(k % 2 == 0, "write").otherwise("read").alias("op"))
+    return tx.results(o, "user_id", "event_id", "op").select("user_id", "event_id", "op", "result")
+
+
 @query(
     "t2_read_your_writes",
     """WITH o AS (SELECT user_id, event_id, event_type, floor(value) AS arg FROM events), w AS (SELECT user_id, max(event_id) AS at FROM o WHERE event_type IN ('signup', 'purchase') GROUP BY 1)
@@ -39,39 +52,24 @@ def t4(spark, d):
     return tx.sane(log, "o_custkey", "o_orderkey", "status").select("o_custkey", "ok", F.array_join(F.col("failed").cast("array<string>"), ",").alias("failed"))
 
 
-LOG = "SELECT l_orderkey AS k, l_linenumber AS op, o_custkey + CAST(l_quantity AS BIGINT) % 3 - 1 AS seen, o_custkey AS version, o_orderstatus = 'F' AS locked, l_suppkey % 2 AS readers FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linenumber <= 2"
+LOG = "SELECT l_orderkey AS k, l_linenumber AS op, o_custkey + CAST(l_quantity AS BIGINT) % 3 - 1 AS seen, o_custkey AS version, o_orderstatus = 'F' AS locked, l_suppkey % 2 AS readers FROM lineitem JOIN orders ON l_orderkey = o_orderkey"
 
 
-ALL_LOG = LOG.removesuffix(" WHERE l_linenumber <= 2")
-
-
-def log(spark, d, where="l_linenumber <= 2"):
-    li = table(spark, d, "lineitem").filter(where)
+def log(spark, d):
+    li = table(spark, d, "lineitem")
     o = table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("version"), (F.col("o_orderstatus") == "F").alias("locked"))
     seen = F.col("version") + F.col("l_quantity").cast("long") % 3 - 1
     return li.join(o, "l_orderkey").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("op"), seen.alias("seen"), "version", "locked", (F.col("l_suppkey") % 2).alias("readers"))
 
 
 @query("t5_read_validation", f"SELECT k, op, seen, seen >= version AND NOT locked AS valid FROM ({LOG})")
-def t5(spark, d, where="l_linenumber <= 2"):
-    return log(spark, d, where).select("k", "op", "seen", tx.read_valid(F.col("seen"), F.col("version"), F.col("locked")).alias("valid"))
-
-
-@query("t5_read_validation_whole", f"SELECT k, op, seen, seen >= version AND NOT locked AS valid FROM ({ALL_LOG})")
-def t5_whole(spark, d):
-    """t5_read_validation over all operations; t5_read_validation itself keeps to those of its SQL."""
-    return t5(spark, d, "true")
+def t5(spark, d):
+    return log(spark, d).select("k", "op", "seen", tx.read_valid(F.col("seen"), F.col("version"), F.col("locked")).alias("valid"))
 
 
 @query("t6_write_validation", f"SELECT k, op, seen, ((seen = version AND readers = 0) OR seen > version) AND NOT locked AS valid FROM ({LOG})")
-def t6(spark, d, where="l_linenumber <= 2"):
-    return log(spark, d, where).select("k", "op", "seen", tx.write_valid(F.col("seen"), F.col("version"), F.col("readers"), F.col("locked")).alias("valid"))
-
-
-@query("t6_write_validation_whole", f"SELECT k, op, seen, ((seen = version AND readers = 0) OR seen > version) AND NOT locked AS valid FROM ({ALL_LOG})")
-def t6_whole(spark, d):
-    """t6_write_validation over all operations; t6_write_validation itself keeps to those of its SQL."""
-    return t6(spark, d, "true")
+def t6(spark, d):
+    return log(spark, d).select("k", "op", "seen", tx.write_valid(F.col("seen"), F.col("version"), F.col("readers"), F.col("locked")).alias("valid"))
 
 
 @query(
@@ -91,6 +89,19 @@ def t11(spark, d):
     return table(spark, d, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("event_type") == "error").alias("aborted"))
 
 
+@query(
+    "t11_each_committed",
+    """SELECT user_id, seq, CASE WHEN op = 'read' AND NOT known THEN 'fail not_found' WHEN op = 'add_on_nr' AND NOT number THEN 'fail not_a_number' ELSE 'ok' END AS result FROM
+    (SELECT user_id, event_id AS seq, CASE WHEN event_type IN ('signup', 'purchase') THEN 'write' WHEN event_type = 'view' THEN 'add_on_nr' ELSE 'read' END AS op, c_custkey IS NOT NULL AS known, c_acctbal IS NULL OR c_acctbal >= 0 AS number FROM events LEFT JOIN customer ON c_custkey = user_id)""",
+)
+def t11_each(spark, d):
+    """Requests that each commit on their own, against the store as it was: one that fails takes no other along."""
+    store = table(spark, d, "customer").select(F.col("c_custkey").alias("user_id"), (F.col("c_acctbal") >= 0).alias("number"), F.lit(True).alias("known"))
+    rows = ops(spark, d).join(store, "user_id", "left")
+    result = F.when((F.col("op") == "read") & F.col("known").isNull(), "fail not_found").when((F.col("op") == "add_on_nr") & ~F.coalesce("number", F.lit(True)), "fail not_a_number").otherwise("ok")
+    return rows.select("user_id", "seq", result.alias("result"))
+
+
 @query("t12_transfer_invariant", "SELECT count(*) AS accounts, count(*) * 1000 AS total FROM customer")
 def t12(spark, d):
     accounts = table(spark, d, "customer").select(F.col("c_custkey").alias("key"), F.lit(1000).cast("long").alias("balance"))

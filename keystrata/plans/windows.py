@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from keystrata.operators.ranks import numbered
+from keystrata.operators.ranks import numbered, within
+from keystrata.operators.sketch import hashes
+from keystrata.plans.oracle import hex_part
 from keystrata.plans.registry import query, table
 
 
@@ -28,14 +30,15 @@ def n2(spark, d):
 
 @query("n3_running_count", "SELECT o_custkey, o_orderkey, count(*) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS run FROM orders")
 def n3(spark, d):
-    run = F.count(F.lit(1)).over(W.partitionBy("o_custkey").orderBy("o_orderkey").rowsBetween(W.unboundedPreceding, 0))
-    return table(spark, d, "orders").select("o_custkey", "o_orderkey", run.alias("run"))
+    return within(table(spark, d, "orders").select("o_custkey", "o_orderkey"), ["o_custkey"], ["o_orderkey"], "run")
 
 
-@query("n4_position_weights", "SELECT o_custkey, round(sum(o_totalprice * rn) / sum(rn), 2) AS average FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) rn FROM orders) GROUP BY 1")
+@query("n4_position_weights", "SELECT o_custkey, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT) * rn) // sum(rn) AS BIGINT) AS cents FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) rn FROM orders) GROUP BY 1")
 def n4(spark, d):
-    rows = table(spark, d, "orders").withColumn("rn", F.row_number().over(W.partitionBy("o_custkey").orderBy("o_orderkey")))
-    return rows.groupBy("o_custkey").agg(F.round(F.sum(F.col("o_totalprice") * F.col("rn")) / F.sum("rn"), 2).alias("average"))
+    """Averages in whole hundredths: a sum of fractions would depend on its order."""
+    rows = within(table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_totalprice"), ["o_custkey"], ["o_orderkey"], "rn")
+    cents = F.round(F.col("o_totalprice") * 100).cast("long")
+    return rows.groupBy("o_custkey").agg(F.sum(cents * F.col("rn")).alias("x"), F.sum("rn").alias("n")).select("o_custkey", F.expr("x div n").alias("cents"))
 
 
 SLOTS = "SELECT event_type, time_bucket(INTERVAL '6 hours', ts) AS slot, sum(value) AS v FROM events GROUP BY 1, 2"
@@ -110,18 +113,29 @@ def l4(spark, d):
     return table(spark, d, "customer").orderBy("c_custkey").offset(100).limit(50).select("c_custkey", "c_name")
 
 
-@query("l5_random_subset")
+def drawn(column: str, seed: int):
+    """A random order that a seed repeats."""
+    return F.md5(F.concat_ws(":", column, F.lit(seed)).cast("binary"))
+
+
+@query("l5_random_subset", "SELECT c_custkey FROM customer ORDER BY md5(c_custkey || ':11') LIMIT 10")
 def l5(spark, d):
     """Ten random rows; the seed makes them repeatable."""
-    return table(spark, d, "customer").withColumn("r", F.xxhash64("c_custkey", F.lit(11))).orderBy("r").limit(10).select("c_custkey")
+    return table(spark, d, "customer").orderBy(drawn("c_custkey", 11)).limit(10).select("c_custkey")
+
 
+@query("l5_shuffle_and_pop", "SELECT c_custkey, row_number() OVER (ORDER BY md5(c_custkey || ':5')) AS place FROM customer QUALIFY place > 1")
+def l5_shuffle(spark, d):
+    """All rows in a random order, without the first, which is popped."""
+    rows, _ = numbered(table(spark, d, "customer").select("c_custkey", drawn("c_custkey", 5).alias("r")), ["r", "c_custkey"])
+    return rows.filter("rank > 0").select("c_custkey", (F.col("rank") + 1).alias("place"))
 
-@query("l6_random_article")
+
+@query("l6_random_article", f"SELECT doc_id FROM documents ORDER BY {hex_part('doc_id', 0)} % 7 <> 2, md5(doc_id || ':3') LIMIT 1")
 def l6(spark, d):
     """One random page of a bucket, or of all pages where the bucket is empty."""
-    r = F.xxhash64("doc_id", F.lit(3))
-    rows = table(spark, d, "documents").select("doc_id", (F.pmod(F.xxhash64("doc_id"), F.lit(7)) != 2).alias("other"), r.alias("r"))
-    return rows.orderBy("other", "r").limit(1).select("doc_id")
+    other = hashes(F.col("doc_id"), 1, "md5")[0] % 7 != 2
+    return table(spark, d, "documents").select("doc_id").orderBy(other, drawn("doc_id", 3)).limit(1)
 
 
 @query("l7_split_keys", "SELECT i, i * 1000000 // 8 AS key FROM (SELECT unnest(range(8)) AS i)")
@@ -130,16 +144,10 @@ def l7(spark, d):
     return spark.range(8).select(F.col("id").alias("i"), F.floor(F.col("id") * 1000000 / 8).alias("key"))
 
 
-@query("l8_min_max", "SELECT l_orderkey, l_linenumber, least(l_quantity, l_tax * 500, 20) AS low, greatest(l_quantity, l_tax * 500, 20) AS high FROM lineitem WHERE l_orderkey < 500")
-def l8(spark, d, where="l_orderkey < 500"):
+@query("l8_min_max", "SELECT l_orderkey, l_linenumber, least(l_quantity, l_tax * 500, 20) AS low, greatest(l_quantity, l_tax * 500, 20) AS high FROM lineitem")
+def l8(spark, d):
     q, t = F.col("l_quantity"), F.col("l_tax") * 500
-    return table(spark, d, "lineitem").filter(where).select("l_orderkey", "l_linenumber", F.least(q, t, F.lit(20.0)).alias("low"), F.greatest(q, t, F.lit(20.0)).alias("high"))
-
-
-@query("l8_min_max_whole", "SELECT l_orderkey, l_linenumber, least(l_quantity, l_tax * 500, 20) AS low, greatest(l_quantity, l_tax * 500, 20) AS high FROM lineitem")
-def l8_whole(spark, d):
-    """l8_min_max over the whole table; l8_min_max itself keeps to the rows of its SQL."""
-    return l8(spark, d, "true")
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.least(q, t, F.lit(20.0)).alias("low"), F.greatest(q, t, F.lit(20.0)).alias("high"))
 
 
 @query("l9_ring_order", "SELECT s_name, s_suppkey FROM supplier ORDER BY s_suppkey")

@@ -33,11 +33,12 @@ def finished(stream: DataFrame, mode: str) -> DataFrame:
     out = scratch(spark, "stream")
 
     def sink(batch: DataFrame, i: int) -> None:
-        batch.withColumn("_batch", F.lit(i)).write.mode("overwrite" if mode == "complete" else "append").parquet(out)
+        # a batch that is tried again replaces what it wrote before
+        batch.withColumn("_batch", F.lit(i)).write.mode("overwrite").parquet(out if mode == "complete" else f"{out}/batch={i}")
 
     q = stream.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", scratch(spark, "state")).trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.parquet(out)
+    return spark.read.parquet(out).drop("batch")
 
 
 def timing(stream: DataFrame, ts: str, value: str, length: str, columns: Callable) -> DataFrame:

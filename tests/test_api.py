@@ -45,3 +45,34 @@ def test_calls(spark):
     assert all(hasattr(Store, m) for m in CALLS.values())
     assert monitor(spark.createDataFrame([(1.0,), (3.0,)], "load double"), "load").first().average == 2.0
     assert {r.key: r.value for r in s.write_all(spark.createDataFrame([("a", "n", 4)], "key string, value string, version long")).snapshot().collect()} == {"a": "n", "b": "y"}
+
+
+def test_service_calls(spark):
+    s = Store.of(spark, [("a", "x"), ("b", "y")])
+    assert handle(s, "nop", [1])["status"] == "ok" and handle(s, "get_replication_factor", [])["value"] == 1
+    assert handle(s, "get_node_info", [])["value"]["load"] == 2 and handle(s, "get_service_info", [])["value"]["total_load"] == 2
+    assert handle(s, "get_node_performance", [])["value"]["entries"] == 2 and handle(s, "get_ring_size", [100])["value"] >= 1
+    assert handle(s, "wait_for_ring_size", [10**9, 1])["reason"] == "timeout"
+    assert handle(handle(s, "rbr_write", ["a", "z"]), "rbr_read", ["a"])["value"] == "z"
+    assert handle(s, "run_benchmark_read", [])["value"]["rounds"] == 8
+
+
+def test_each_request_commits(spark):
+    s, got = handle(Store.of(spark, [("a", "x")]), "req_list_commit_each", [[("write", "a", "y"), ("test_and_set", "a", "no", "q"), ("write", "b", "z"), ("read", "b")]])
+    assert [r["status"] for r in got] == ["ok", "fail", "ok", "ok"] and s.read("a")["value"] == "y" and got[3]["value"] == "z"
+
+
+def test_a_list_carries_its_log(spark):
+    s = Store.of(spark, [("a", "x")])
+    same, log, got = handle(s, "req_list", [[("write", "a", "y")]])
+    assert same.read("a")["value"] == "x" and len(log) == 1 and got == [{"status": "ok"}]
+    done, log, got = handle(s, "req_list", [log, [("read", "a"), ("commit",)]])
+    assert got[0]["value"] == "y" and done.read("a")["value"] == "y" and log == []
+
+
+def test_many_writes_keep_the_plan_short(spark):
+    s = Store.of(spark, [("k", "0")])
+    for i in range(40):
+        s = s.write("k", str(i))
+        assert s.depth < Store.HELD
+    assert s.read("k")["value"] == "39" and s.count() == 1
