@@ -19,8 +19,9 @@ that shares a bucket is in one class or compared, however many rounds there are.
 pair of similarity 0.8 three times in a million.
 
 Defined results: words are lower-cased runs of anything but ASCII white space; texts without words
-(null, empty) are alike and form a class; rows that share an id are rows of their own; a null id never
-stays where another does; an empty table gives none. Clashing input columns are dropped.
+(null, empty) are alike and form a class; a very long text is one row, whose signature and overlap see all of it;
+rows that share an id are rows of their own; a null id never stays where another does; an empty table gives none.
+Input columns named as result columns are dropped, others pass through whatever their names.
 """
 
 from __future__ import annotations

@@ -10,11 +10,13 @@ sketched, subtracted and peeled together.
 
 Documents are compared with the next one in falling order of their ids: texts are range-sorted once,
 a task pairs neighbours as they stream by, and each partition's last document meets the first of the
-next partition through a table of a row a partition.
+next partition by a join; only the partitions' numbers meet in one task. A batch holds so many texts as a few MB
+take, so memory follows the longest text.
 
 Defined results: null text counts as empty, has no paragraphs, and is like only another empty one
-(likeness 1); null ids come last, rows that share an id are ordered by text; a table of one row is its own
-next; repeated paragraphs count as often as they occur; an empty table gives none.
+(likeness 1); a very long text is one row, with as many paragraphs as it has; null ids come last, rows that share
+an id are ordered by text; a table of one row is its own next; repeated paragraphs count as often as they occur; an
+empty table gives none. Further columns, whatever their names, play no part.
 """
 
 from __future__ import annotations
@@ -174,6 +176,25 @@ def compare(texts: list[str], after: list[str]) -> list:
     return [np.array([len(t) for t in texts], "i8"), [hashlib.sha256(e).hexdigest() for e in edited], prints[:n], prints[n : 2 * n], *near]
 
 
+#: Rows and bytes of texts that are sketched together.
+ROWS, BYTES = 512, 4 << 20
+
+
+def runs_of(texts) -> list[tuple[int, int]]:
+    """First row and number of rows of parts of an Arrow column that keep to ROWS and BYTES; a longer text is a part."""
+    import pyarrow.compute as pc
+
+    out, at, size = [], 0, 0
+    for i, n in enumerate(pc.binary_length(texts).to_pylist()):
+        if i > at and (i - at >= ROWS or size + (n or 0) > BYTES):
+            out.append((at, i - at))
+            at, size = i, 0
+        size += n or 0
+    if len(texts) > at:
+        out.append((at, len(texts) - at))
+    return out
+
+
 NAMES = ("n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 RESULT = "n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
@@ -196,9 +217,9 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         ids, texts, type_ = [], [], None
         for whole in batches:
             type_ = whole.schema.field(0).type
-            for a in range(0, whole.num_rows, 512):
-                ids += whole.column(0).slice(a, 512).to_pylist()
-                texts += whole.column(1).slice(a, 512).to_pylist()
+            for a, n in runs_of(whole.column(1)):
+                ids += whole.column(0).slice(a, n).to_pylist()
+                texts += whole.column(1).slice(a, n).to_pylist()
                 if len(ids) > 1:
                     yield pa.RecordBatch.from_arrays([pa.array(ids[:-1], type_), *(pa.array(c) for c in compare(texts[:-1], texts[1:]))], names=["doc_id", *NAMES])
                     ids, texts = ids[-1:], texts[-1:]
@@ -222,5 +243,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     schema = f"doc_id {kind}, {RESULT}"
     edge = ordered.mapInArrow(ends, f"part int, head string, doc_id {kind}, text string")  # a row a partition
     by = W.orderBy("part")
-    pairs = edge.select("doc_id", "text", F.coalesce(F.lead("head").over(by), F.first("head").over(by.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))).alias("after"))
+    whole = by.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    follows = ordered.select("part").distinct().select("part", F.coalesce(F.lead("part").over(by), F.first("part").over(whole)).alias("next"))
+    heads = edge.select(F.col("part").alias("next"), F.col("head").alias("after"))
+    pairs = edge.select("part", "doc_id", "text").join(follows, "part").join(heads, "next").select("doc_id", "text", "after")
     return ordered.mapInArrow(inner, schema).unionByName(map_batches(pairs, seam, schema))

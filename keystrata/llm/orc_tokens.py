@@ -6,8 +6,8 @@ so min/max and Bloom metadata prune point and range reads, and stripes are read
 Only texts are shuffled (ids are larger), and sampling for the ranges never runs the tokenizer.
 
 Defined results: null text counts as empty (only the end id is written); rows with a null id come
-first; rows that share an id keep an order by text; repeated rows are written repeatedly; an empty
-table gives files without rows.
+first; rows that share an id keep an order by text; repeated rows are written repeatedly; a very long text is one
+row of a file; an empty table gives files without rows. Further columns, whatever their names, are not written.
 """
 
 from __future__ import annotations

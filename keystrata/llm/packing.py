@@ -10,7 +10,8 @@ is bounded by the capacity whatever the input; executors look their pieces' rank
 
 Defined results: null text counts as empty (a piece of the end id alone); a document longer than
 the capacity is cut into pieces of the capacity and a rest; rows that share an id are packed each;
-null ids are kept; an empty table gives no pieces.
+null ids are kept; a very long text is encoded as one row; an empty table gives no pieces. Further columns, whatever
+their names, play no part.
 """
 
 from __future__ import annotations

@@ -14,7 +14,8 @@ costs one entry a slice. Slices go through the shared folder between rounds; not
 
 Defined results: words are runs of anything but space and \\t\\n\\v\\f\\r; null text has no words; a document
 shorter than a window keeps all; rows that share an id, and repeated rows, are documents of their own
-(so a repeated row of W words or more repeats wholly); null ids are kept; an empty table gives none.
+(so a repeated row of W words or more repeats wholly); a very long text is a slice of its own; null ids are kept; an
+empty table gives none. Further columns, whatever their names, play no part.
 """
 
 from __future__ import annotations

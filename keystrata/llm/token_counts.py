@@ -12,7 +12,8 @@ pieces get the log-probabilities of the Zipf-Mandelbrot law at their rank. A cha
 piece costs the least score less 10 and counts as its bytes (byte fallback).
 
 Defined results: pre-tokens are runs of anything but white space, with the vocabulary's word mark before; null
-and empty texts count 0; repeated rows, shared and null ids are counted each; an empty table gives none.
+and empty texts count 0; a very long text is one row, a very long pre-token is walked whole and not remembered; repeated
+rows, shared and null ids are counted each; an empty table gives none. Further columns, whatever their names, play no part.
 """
 
 from __future__ import annotations

@@ -15,8 +15,21 @@ from keystrata.llm import iblt, token_counts  # noqa: E402
 
 
 def units(text):
-    owner, key = iblt.paragraphs([text.encode()])
-    return set(key.tolist())
+    """Pieces of a text with how often each occurred before, cut byte by byte by the rule."""
+    raw, out, seen, start = text.encode() + b"\n", set(), Counter(), 0
+    for i, c in enumerate(raw):
+        cut = c == 10
+        if c == 32 and i >= 6:
+            h = 0
+            for k in range(6):
+                h ^= int(iblt._NEAR[k][raw[i - 1 - k]])
+            cut = h % iblt.CUT == 0
+        if cut:
+            if i > start:
+                out.add((raw[start:i], seen[raw[start:i]]))
+                seen[raw[start:i]] += 1
+            start = i + 1
+    return out
 
 
 def test_peeling_gives_the_difference():
@@ -72,3 +85,20 @@ def test_counts_equal_the_library(spark):
     got = token_counts.count_tokens(table(spark, data), P.path("piece_bpe_32k.model")).collect()
     assert Counter((r.doc_id, r.n_pretokens, r.n_tokens) for r in got) == Counter((x[0], len((x[1] or "").split()), sum(own[w] for w in (x[1] or "").split())) for x in data)
     assert own["🧿🧿"] >= 8 and token_counts.count_tokens(spark.createDataFrame([], SCHEMA), P.path("piece_bpe_32k.model")).count() == 0
+
+
+def test_batches_keep_to_bytes():
+    import pyarrow as pa
+
+    texts = pa.array(["a" * 10] * 1030 + ["b" * (5 << 20), None, "c" * (3 << 20), "d" * (2 << 20)])
+    got = iblt.runs_of(texts)
+    assert got == [(0, 512), (512, 512), (1024, 6), (1030, 1), (1031, 2), (1033, 1)] and iblt.runs_of(pa.array([], pa.string())) == []
+
+
+def test_neighbours_meet_across_partitions(spark):
+    """Many partitions of a document or none: each document's neighbour is the next one, whatever partition that is in."""
+    data = [(i, f"text number {i} " * (i % 5)) for i in range(40)]
+    got = {r.doc_id: r for r in iblt.fingerprints(spark.createDataFrame(data, "doc_id long, text string"), partitions=64).collect()}
+    for i, t in data:
+        after = data[(i - 1) % 40][1]
+        assert got[i].edited_sha256 == hashlib.sha256(iblt.edit(t, after).encode()).hexdigest()

@@ -5,6 +5,7 @@ from collections import defaultdict
 from pathlib import Path
 
 sys.path.insert(0, str(Path(__file__).parent))
+from helpers import SCHEMA, hard, table  # noqa: E402
 from test_bagminhash import classes  # noqa: E402
 from test_pii import brute  # noqa: E402
 from test_tokens import best_fit_decreasing  # noqa: E402
@@ -56,3 +57,22 @@ def test_stages(spark):
 
 def test_run(spark):
     assert p.run(spark, DATA).count() > 100
+
+
+def test_hard_rows(spark, tmp_path):
+    """Nulls, empty and long texts, repeated rows and ids, columns named as results: every stage keeps the columns of its input."""
+    data = hard(60, words=60)
+    table(spark, data).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(x[0], i % 4 and 1) for i, x in enumerate(data) if x[0] is not None], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = documents(spark, str(tmp_path))
+    for name, stage in p.STAGES[:-1]:
+        before, docs = docs, materialize(stage(spark, docs, str(tmp_path)), name)
+        assert docs.columns == before.columns and 0 < docs.count() <= before.count()
+    out = p.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
+    assert {r.doc_id for r in out} == {r.doc_id for r in docs.collect()} and all(len(r.ids) == r.length for r in out)
+
+
+def test_empty(spark, tmp_path):
+    spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert p.run(spark, str(tmp_path)).count() == 0

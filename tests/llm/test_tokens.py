@@ -129,3 +129,8 @@ def test_packing(spark):
         assert at <= 2048
     assert len(by) == best_fit_decreasing([r.length for r in got], 2048)
     assert packing.pack(spark.createDataFrame([], SCHEMA), P.path("word_bpe_49k.json")).count() == 0
+
+
+def test_byte_bpe_of_an_empty_table(spark):
+    how = {"path": P.path("byte_bpe_50k.tiktoken"), "pattern": P.PATTERN}
+    assert byte_bpe.decode(byte_bpe.encode(spark.createDataFrame([], SCHEMA), offsets=True, **how), **how).count() == 0
