@@ -61,9 +61,9 @@ def run(df: DataFrame, phases: list[Phase], **options) -> DataFrame:
 
 
 #: The separators of the word count.
-SEPARATORS = " \n,.;:?!()\"'-_"
+SEPARATORS = " \n,.;:?!()\"'_-"
 
 
 def words(text: Column) -> Column:
     """Lower-case words of a text."""
-    return F.filter(F.split(F.lower(text), "[ \n,.;:?!()\"'_-]"), lambda w: w != "")
+    return F.filter(F.split(F.lower(text), f"[{SEPARATORS}]"), lambda w: w != "")

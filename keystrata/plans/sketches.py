@@ -103,3 +103,26 @@ def a33(spark, d):
 
     rows = table(spark, d, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
     return rows.groupBy("label").applyInPandas(merge, "label int, cluster long, weight double")
+
+
+NEAREST = "list_transform(range(2, len(s) + 1), lambda j: s[j].x - s[j - 1].x)"
+JOINED = "list_concat(s[1:i - 1], [{'x': (s[i].x * s[i].n + s[i + 1].x * s[i + 1].n) / (s[i].n + s[i + 1].n), 'n': s[i].n + s[i + 1].n}], s[i + 2:])"
+STEP = f"list_transform([b], lambda s: CASE WHEN len(s) > 1 AND list_min({NEAREST}) <= 150 THEN list_transform([list_position({NEAREST}, list_min({NEAREST}))], lambda i: {JOINED})[1] ELSE s END)[1]"
+
+
+@query(
+    "a33_clusters_of_values",
+    f"""SELECT c_nationkey, round(e.x, 6) AS centre, CAST(e.n AS BIGINT) AS weight FROM (SELECT c_nationkey, unnest(list_reduce(list_concat([p], list_transform(range(len(p)), lambda _: CAST([] AS STRUCT(x DOUBLE, n BIGINT)[]))), lambda b, _: {STEP})) AS e FROM
+    (SELECT c_nationkey, list({{'x': c_acctbal, 'n': CAST(1 AS BIGINT)}} ORDER BY c_acctbal) AS p FROM customer GROUP BY c_nationkey))""",
+)
+def a33_values(spark, d):
+    """Agglomerative clusters of each nation's balances: on a line the closest pair are neighbours, so that SQL can follow."""
+    import numpy as np
+    import pandas as pd
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        centres, weights = sk.agglomerate(np.sort(pdf["v"].to_numpy())[:, None], 150.0)
+        return pd.DataFrame({"c_nationkey": pdf["c_nationkey"].iloc[0], "centre": centres[:, 0], "weight": np.array(weights, "i8")})
+
+    rows = table(spark, d, "customer").select("c_nationkey", F.col("c_acctbal").alias("v"))
+    return rows.groupBy("c_nationkey").applyInPandas(merge, "c_nationkey int, centre double, weight long").withColumn("centre", F.round("centre", 6))

@@ -15,7 +15,7 @@ def ship(spark: SparkSession) -> None:
     have = env.get("PYTHONPATH", "")
     if _ROOT not in have.split(":"):
         env["PYTHONPATH"] = f"{_ROOT}:{have}" if have else _ROOT
-    if spark.conf.get(_ROWS, "10000") == "10000":  # the default; batches of long texts shall stay small on either side
+    if spark.conf.get(_ROWS, None) is None:  # nobody chose; batches of long texts shall stay small on either side
         spark.conf.set(_ROWS, "2048")
 
 
