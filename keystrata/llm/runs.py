@@ -1,19 +1,19 @@
 """Hashes of words, and of runs of consecutive words.
 
-A word's hash is a keyed cryptographic digest, remembered a worker. A run's hash joins the hashes of
-its halves by a function that is one-to-one in either half and not linear, so no arrangement of
-letters or words (as there is for polynomials modulo a power of two) makes unlike runs alike by rule.
-Two lanes with keys of their own give 128 bits.
+A word's hash takes its bytes in eights, each joined to what came before; a run's hash joins the hashes
+of its halves. Joining is one-to-one in either side and not linear, so no arrangement of letters or words (as
+there is for polynomials modulo a power of two) makes unlike runs alike by rule. Two lanes with seeds of
+their own give 128 bits. All words of a block are hashed at once.
 """
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 
-#: Words that a worker remembers, bytes of the longest of them, and words that are hashed at a time.
-MEMO, LONGEST, BLOCK = 200_000, 64, 1 << 17
+#: Words that are hashed at a time, and the lanes' seeds.
+BLOCK, SEEDS = 1 << 17, (0x5851F42D4C957F2D, 0x14057B7EF767814F)
+#: What of eight bytes belongs to a word that has so many left.
+_HELD = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -26,27 +26,17 @@ def join(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return mix(mix(left) * np.uint64(0x9E3779B97F4A7C15) + right)
 
 
-class Memo(dict):
-    """Hash of each word; starts anew when full."""
-
-    def __init__(self, lane: int):
-        super().__init__()
-        self.key = b"lane %d" % lane
-
-    def __missing__(self, word: bytes) -> int:
-        h = int.from_bytes(hashlib.blake2b(word, digest_size=8, key=self.key).digest(), "little")
-        if len(word) <= LONGEST:
-            if len(self) >= MEMO:
-                self.clear()
-            self[word] = h
-        return h
-
-
-_MEMOS = [Memo(0), Memo(1)]
-
-
-def of_words(words: list[bytes], lane: int = 0) -> np.ndarray:
-    return np.fromiter(map(_MEMOS[lane].__getitem__, words), np.uint64, len(words))
+def of_words(text: np.ndarray, start: np.ndarray, end: np.ndarray, lane: int = 0) -> np.ndarray:
+    """Hashes of the words that begin and end at these bytes."""
+    eights = np.ndarray(len(text) + 1, "<u8", np.concatenate([text, np.zeros(8, np.uint8)]).tobytes(), strides=(1,))
+    left = end - start
+    out = mix(left.astype(np.uint64) + np.uint64(SEEDS[lane]))
+    live, at = np.arange(len(start)), start
+    while len(live):
+        out[live] = join(out[live], eights[at] & _HELD[np.minimum(left, 8)])
+        more = left > 8
+        live, at, left = live[more], at[more] + 8, left[more] - 8
+    return out
 
 
 def of_runs(h: np.ndarray, width: int) -> np.ndarray:
@@ -83,8 +73,9 @@ class Words:
         while k < len(at):
             lo = at[k]
             stop = int(np.searchsorted(at, lo + BLOCK))
-            part = self.text[self.start[lo] : self.end[at[stop - 1] + width - 1]].tobytes()
-            out[k:stop] = of_runs(of_words(part.split(b" "), lane), width)[at[k:stop] - lo]
+            hi, origin = at[stop - 1] + width, self.start[lo]
+            words = of_words(self.text[origin : self.end[hi - 1]], self.start[lo:hi] - origin, self.end[lo:hi] - origin, lane)
+            out[k:stop] = of_runs(words, width)[at[k:stop] - lo]
             k = stop
         return out
 

@@ -11,6 +11,11 @@ from helpers import table  # noqa: E402
 
 from keystrata.llm import bagminhash, iblt, runs, substrings  # noqa: E402
 
+def hashed(words, lane=0):
+    w = runs.Words(np.array([len(words)]), np.frombuffer(b" ".join(words), np.uint8))
+    return runs.of_words(w.text, w.start, w.end, lane)
+
+
 TURN = [bin(i).count("1") % 2 for i in range(1024)]
 LEFT, RIGHT = "".join("ab"[x] for x in TURN), "".join("ba"[x] for x in TURN)
 
@@ -19,7 +24,7 @@ LEFT, RIGHT = "".join("ab"[x] for x in TURN), "".join("ba"[x] for x in TURN)
 def test_runs_are_equal_as_their_words_are(width):
     r = np.random.default_rng(width)
     words = [b"%d" % x for x in r.integers(0, 2, 300)]
-    h = runs.of_runs(runs.of_words(words), width)
+    h = runs.of_runs(hashed(words), width)
     want = [tuple(words[i : i + width]) for i in range(len(words) - width + 1)]
     assert len(h) == len(want) and len(np.unique(h)) == len(set(want))
     first = {}
@@ -38,13 +43,19 @@ def test_blocks_do_not_matter(monkeypatch):
 def test_word_runs_of_thue_and_morse():
     a, b = ([b"xy"[t : t + 1] for t in turn] for turn in (TURN, [1 - t for t in TURN]))
     for lane in (0, 1):
-        assert runs.of_runs(runs.of_words(a, lane), 1024)[0] != runs.of_runs(runs.of_words(b, lane), 1024)[0]
+        assert runs.of_runs(hashed(a, lane), 1024)[0] != runs.of_runs(hashed(b, lane), 1024)[0]
+
+
+def test_words_of_any_length():
+    words = [b"a" * n for n in range(1, 60)] + [b"a" * n + b"\x00" for n in range(1, 30)] + [b"\x00" * n for n in range(1, 30)] + [b"12345678", b"12345678\x00", b"12345678 "[:8] + b"9"]
+    h = hashed(words * 2)
+    assert len(np.unique(h)) == len(set(words)) and (h[: len(words)] == h[len(words) :]).all()
 
 
-def test_memo_starts_anew(monkeypatch):
-    monkeypatch.setattr(runs, "MEMO", 10)
-    words = [b"m%d" % (i % 50) for i in range(500)]
-    assert (runs.of_words(words) == np.tile(runs.of_words(words[:50]), 10)).all() and runs._MEMOS[0]
+def test_lanes_differ():
+    words = [b"m%d" % i for i in range(500)]
+    a, b = hashed(words, 0), hashed(words, 1)
+    assert len(np.unique(a)) == len(np.unique(b)) == 500 and not (a == b).any()
 
 
 def test_substrings(spark):
