@@ -122,12 +122,25 @@ def iblt_entries(cells: DataFrame, size: int, k: int = 3) -> tuple[DataFrame, bo
 
 
 def iblt_difference(a: DataFrame, b: DataFrame, column: str, size: int) -> DataFrame:
-    """x, side (1: only in a, -1: only in b) of two columns of distinct numbers, from sketches that double until what is left of them peels away."""
+    """x, side (1: only in a, -1: only in b) of two columns of distinct numbers, from sketches that grow until what is left of them peels away.
+
+    How many of a sketch's cells are left tells how many numbers differ, so a sketch that is too small is
+    seldom peeled: the next one is made for that number, or is eight times as large where every cell is taken.
+    """
+    from keystrata.sources.scratch import materialize
+
     while True:
-        found, empty = iblt_entries(iblt_minus(iblt(a, column, size), iblt(b, column, size)), size)
-        if empty:
-            return found
-        size *= 2
+        cells = materialize(iblt_minus(iblt(a, column, size), iblt(b, column, size)), "cells")
+        taken = cells.count() / (3 * size)
+        if taken > 0.98:
+            size *= 8
+            continue
+        need = math.ceil(-size * math.log(1 - taken))  # three cells a number peel in a few rounds
+        if need <= size:
+            found, empty = iblt_entries(cells, size)
+            if empty:
+                return found
+        size = max(2 * size, need)
 
 
 def merkle_levels(df: DataFrame, key: str, version: str, lo: int, hi: int, fan: int, depth: int) -> list[DataFrame]:
