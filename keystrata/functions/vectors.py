@@ -55,6 +55,25 @@ def round_to(x: Column, digits: int) -> Column:
     return F.floor(x * 10**digits + 0.5) / 10**digits
 
 
+def nearest_whole(x: Column) -> Column:
+    """A double rounded to a whole one, halves away from zero; what is rounded to zero keeps its sign, as in C and SQL."""
+    r = F.round(x, 0)
+    return F.when((r == 0) & x.cast("string").startswith("-"), F.lit(-0.0)).otherwise(r)
+
+
+def whole_text(x: Column) -> Column:
+    """A whole double as DuckDB writes it: negative zero with its sign, all digits below 10^16, then the fewest that read back, with an exponent (its last digit is the JDK's)."""
+    minus = F.when(x.cast("string").startswith("-"), "-").otherwise("")
+    digits = F.transform(F.sequence(F.lit(0), F.lit(16)), lambda p: F.call_function("format_string", F.concat(F.lit("%."), p.cast("string"), F.lit("e")), x))
+    wide = F.get(F.filter(digits, lambda s: s.cast("double") == x), F.lit(0))
+    return (
+        F.when(F.isnan(x), "nan")
+        .when(F.abs(x) == float("inf"), F.concat(minus, F.lit("inf")))
+        .when(F.abs(x) < 1e16, F.concat(minus, F.abs(x).cast("long").cast("string"), F.lit(".0")))
+        .otherwise(wide)
+    )
+
+
 def merge_weighted(values: str, weight: str, dims: int) -> list[Column]:
     """Weighted average of vectors, a partial aggregate for each dimension."""
     return [(F.sum(F.col(values)[i] * F.col(weight)) / F.sum(weight)).alias(f"d{i}") for i in range(dims)]

@@ -143,3 +143,16 @@ def test_chance_in_the_filters_hides_no_difference(spark, monkeypatch):
     got = entry.queries()["j10_approximate_tree"](spark, DATA).select("o_orderkey", "a_version", "b_version", "state").collect()
     want = c.execute(f"SELECT o_orderkey, a_version, b_version, state FROM ({entry.oracle_sql()['j10_approximate_tree']})").fetchall()
     assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+
+
+def test_written_balances_are_those_of_sql(spark, tmp_path):
+    """Negative zero, halves, large and odd balances, and none."""
+    import duckdb
+
+    odd = [-0.0, 0.0, 0.4, 0.49999999999999994, 0.5, 2.5, -0.3, -7.5, 9999999.5, 1e7, 12345678.5, 9007199254740994.0, 9999999999999998.0, 1e16, 1.5e22, 1e300, float("nan"), float("inf"), float("-inf"), None]
+    spark.createDataFrame([(i, f"Customer#{i}", x) for i, x in enumerate(odd)], "c_custkey long, c_name string, c_acctbal double").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW customer AS SELECT * FROM '{tmp_path}/customer.parquet/*.parquet'")
+    got = entry.queries()["x6_read_modify_write"](spark, str(tmp_path)).select("c_custkey", "value", "written").collect()
+    want = c.execute(f"SELECT c_custkey, value, written FROM ({entry.oracle_sql()['x6_read_modify_write']})").fetchall()
+    assert sorted(map(tuple, got)) == sorted(want)
