@@ -1,4 +1,4 @@
-"""Gradient-boosted trees on a bounded matrix on the driver, and their form as Spark columns.
+"""Gradient-boosted trees on a bounded matrix on the driver or on a table of any size, and their form as Spark columns.
 
 A tree is a leaf's value or (feature, threshold, left, right); a row goes left if its feature is at
 most the threshold. Training is deterministic: thresholds are quantiles, ties take the first split.
@@ -7,9 +7,12 @@ most the threshold. Training is deterministic: thresholds are quantiles, ties ta
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from keystrata.sources.session import ship
+
 Tree = float | tuple
 
 
@@ -72,6 +75,94 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int, depth: int, rate: float = 0.3
     return base, trees
 
 
+#: Gradients are summed as whole multiples of 1 / UNIT, so that sums do not depend on their order.
+UNIT = 1 << 24
+
+
+def sums(groups: DataFrame, part, size: int) -> np.ndarray:
+    """The sum over groups (b, y, w; and k) of what part(bins, y, w, k) gives of a batch, a vector of `size` whole numbers; a row a task reaches the driver."""
+    ship(groups.sparkSession)
+
+    def run(batches):
+        total = np.zeros(size, np.int64)
+        for x in batches:
+            if x.num_rows:
+                b = x.column("b").flatten().to_numpy().reshape(x.num_rows, -1)
+                total += part(b, *(x.column(c).to_numpy() for c in ("y", "w", "k")))
+        yield pa.RecordBatch.from_pydict({"v": pa.array([total], pa.list_(pa.int64()))})
+
+    return sum((np.array(r.v, np.int64) for r in groups.select("b", "y", "w", "k").mapInArrow(run, "v array<bigint>").collect()), np.zeros(size, np.int64))
+
+
+def margins(base: float, trees: list[Tree], x: np.ndarray) -> np.ndarray:
+    out = np.full(len(x), base)
+    for t in trees:
+        out += predict(t, x)
+    return out
+
+
+def fit_groups(groups: DataFrame, sizes: list[int], rounds: int, depth: int, rate: float = 0.3, least: int = 20, l2: float = 1.0) -> tuple[float, list[Tree]]:
+    """As fit(), from every row of a table of any size: groups has bins b (array<int>), label y, weight w and k, feature j has sizes[j] bins.
+
+    Each level of a tree is one pass that sums gradients by node, feature and bin where the rows lie. Thresholds
+    of the trees are bins.
+    """
+    at = np.concatenate([[0], np.cumsum(sizes)])
+    n, ones = sums(groups, lambda b, y, w, k: np.array([w.sum(), (w * y).sum()]), 2)
+    p = min(max(ones / n if n else 0.5, 1e-3), 1 - 1e-3)
+    base, trees = float(np.log(p / (1 - p))), []
+    for _ in range(rounds if n else 0):
+        splits: dict[int, tuple[int, int]] = {}  # node i has children 2i + 1 and 2i + 2
+        value: dict[int, float] = {}
+        for level in range(depth):
+            first, width = 2**level - 1, 2**level
+            if level and not any((i - 1) // 2 in splits for i in range(first, first + width)):
+                break
+
+            def part(b, y, w, k, splits=dict(splits), first=first, width=width, trees=tuple(trees)):
+                q = 1 / (1 + np.exp(-margins(base, trees, b)))
+                each = [w, w * np.rint((q - y) * UNIT), w * np.rint(q * (1 - q) * UNIT)]
+                node = np.zeros(len(b), np.int64)
+                for i, (j, cut) in splits.items():  # parents first
+                    node = np.where(node == i, 2 * i + 1 + (b[:, j] > cut), node)
+                node -= first
+                here = (node >= 0) & (node < width)
+                out = np.zeros((3, width, at[-1]), np.int64)
+                for j, s in enumerate(sizes):
+                    place = node[here] * s + b[here, j]
+                    for v, x in enumerate(each):
+                        out[v, :, at[j] : at[j + 1]] = np.bincount(place, x[here], width * s).reshape(width, s).astype(np.int64)
+                return out.ravel()
+
+            got = sums(groups, part, 3 * width * at[-1]).reshape(3, width, at[-1])
+            for i in range(width):
+                counts, g, h = got[0, i], got[1, i] / UNIT, got[2, i] / UNIT
+                rows, gs, hs = counts[: sizes[0]].sum(), g[: sizes[0]].sum(), h[: sizes[0]].sum()
+                if not rows:
+                    continue
+                value[first + i] = float(-gs / (hs + l2))
+                best, gain = None, 1e-6
+                for j, s in enumerate(sizes):
+                    c, gl, hl = (np.cumsum(z[at[j] : at[j + 1]])[:-1] for z in (counts, g, h))
+                    score = gl**2 / (hl + l2) + (gs - gl) ** 2 / (hs - hl + l2) - gs**2 / (hs + l2)
+                    score[(c < least) | (rows - c < least)] = -1
+                    b = int(score.argmax())
+                    if score[b] > gain:
+                        best, gain = (j, b), float(score[b])
+                        ends = float(-gl[b] / (hl[b] + l2)), float(-(gs - gl[b]) / (hs - hl[b] + l2))
+                if best and rows >= 2 * least:
+                    splits[first + i] = best
+                    value[2 * (first + i) + 1], value[2 * (first + i) + 2] = ends
+        nested = lambda i: (*splits[i], nested(2 * i + 1), nested(2 * i + 2)) if i in splits else value[i]  # noqa: B023, E731
+        trees.append(scaled(nested(0), rate))
+    return base, trees
+
+
+def with_cuts(tree: Tree, cuts_: list[np.ndarray]) -> Tree:
+    """A tree over bins as one over features: bin k of feature j ends at cuts_[j][k]."""
+    return (tree[0], float(cuts_[tree[0]][tree[1]]), with_cuts(tree[2], cuts_), with_cuts(tree[3], cuts_)) if isinstance(tree, tuple) else tree
+
+
 def scaled(tree: Tree, by: float) -> Tree:
     return (*tree[:2], scaled(tree[2], by), scaled(tree[3], by)) if isinstance(tree, tuple) else tree * by
 

@@ -1,4 +1,4 @@
-"""Personal data: candidates from high-recall generators, boosted trees, calibrated thresholds; JVM expressions only.
+"""Personal data: candidates from high-recall generators, boosted trees, calibrated thresholds; found and scored by JVM expressions only.
 
 Four base kinds (email, ip, card, phone) are matched and validated; their spans always stay. Three
 generators propose further spans, which may overlap each other and the base ones: opaque tokens (of
@@ -6,15 +6,16 @@ letters and digits), numbers (groups of digits), and values assigned to a name s
 candidate gets format features (length, shares of digits, capitals and hexadecimal signs, separators,
 check digit) and context features (key words and signs around it). Boosted trees score it, and a
 threshold per generator, calibrated on rows that the trees did not see, selects what is added besides
-what the strict recogniser below knows, which is added always: a kind may be too rare for the sample.
+what the strict recogniser below knows, which is added always: a kind may be too rare to be learnt.
 
 Training has no hand-made labels: candidates that a strict recogniser knows (a card number's check sum,
 a plus sign before, the access-key and digest formats, a quote or an assignment before) are positives, all
 others negatives. The features hold neither check sum nor the signs right before a candidate, so the trees
 generalise to the same data written otherwise; that key words stand near, and a token's length and alphabet,
 both sides see. Assignments are what their pattern says, so they are always added and never learnt from.
-Training reads a bounded sample of candidates, the `sample` with the least hash; thresholds are calibrated
-on the candidates of other texts than the trees were grown on.
+Training reads every candidate of every text, equal texts once: trees are grown on two thirds of the texts, thresholds
+calibrated on the others. Candidates become bins of their features and are counted; each level of a tree is a pass that sums
+gradients where the counts lie (numpy over Arrow), and nothing that grows with the table reaches the driver.
 
 Matches come from regexp_extract_all, their places from the lengths of what split() leaves between
 them, added up in blocks. The expressions are the published ones with possessive quantifiers and a look-behind,
@@ -36,11 +37,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keystrata.llm import boosting
-from keystrata.llm.common import fresh, text_of
+from keystrata.llm.common import fresh, materialize, text_of
 
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("assigned", "number", "secret")
-SAMPLE, PRECISION = 8_000, 0.98
+PRECISION = 0.98
 #: Matches whose places are added up together.
 BLOCK = 64
 PATTERNS = {
@@ -146,37 +147,51 @@ def candidates(text: str) -> Column:
 Model = tuple[float, list[boosting.Tree], dict[str, float]]
 
 
-def train(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> Model:
-    """Base, trees and thresholds, from the candidates of at most 4 x `sample` different texts, at most `sample` of them."""
-    texts = docs.select(text_of(text_col).alias("t")).filter(F.col("t").rlike("[0-9]{3}|[=:]")).withColumn("h", F.xxhash64("t"))
-    # hashes first, so that no task holds more than numbers; equal texts count once
-    some = texts.select("h").distinct().orderBy("h").limit(4 * sample)
-    found = texts.join(F.broadcast(some), "h", "left_semi").select("h", candidates("t").alias("c")).filter(F.size("c") > 0)
-    few = found.groupBy("h").agg(F.any_value("c").alias("c")).select("h", F.explode("c").alias("c")).filter(F.col("c.kind") != ADDED[0])
-    few = few.orderBy(F.xxhash64("c.value", "c.start"), "c.value", "c.start", "c.kind", "h").limit(sample)
-    got = few.select("c.kind", "h", known(F.col("c")).cast("double"), *(x.alias(f"f{i}") for i, x in enumerate(features(F.col("c"))))).collect()
-    rows = sorted(tuple(r) for r in got)
-    x, y = np.array([r[3:] for r in rows], float), np.array([r[2] or 0.0 for r in rows], float)
-    kinds = np.array([r[0] for r in rows])
-    if not len(rows) or not y.any():
+def bins(f: list[Column]) -> list[Column]:
+    """The bin of each feature: how many of its CUTS are less than it."""
+    whole = lambda x: F.when(x <= 64, x).otherwise(F.least(64 + F.ceil(F.log2(x / 64)), F.lit(80)))
+    share = lambda x: F.least(F.ceil(x * 64 - 0.5), F.lit(64))
+    return [(whole if j < 2 else share if j < 8 else lambda x: x)(x).cast("int") for j, x in enumerate(f)]
+
+
+#: Thresholds that the trees choose among, whatever the data: whole numbers to 64 and powers of two above, 64ths, flags.
+CUTS = [np.array([*np.arange(64) + 0.5, *64.0 * 2 ** np.arange(16)])] * 2 + [(np.arange(64) + 0.5) / 64] * 6 + [np.array([0.5])] * 5
+
+
+def train(docs: DataFrame, text_col: str = "text") -> Model:
+    """Base, trees and thresholds, from every candidate of every different text; candidates of equal bins are one weighted row."""
+    texts = docs.select(text_of(text_col).alias("t")).filter(F.col("t").rlike("[0-9]")).withColumn("h", F.xxhash64("t"))
+    learnt = F.concat(*(matches("t", k) for k in ADDED[1:]))
+    short = lambda c: F.struct((c["kind"] == ADDED[1]).cast("int").alias("k"), F.coalesce(known(c), F.lit(False)).cast("int").alias("y"), F.array(*bins(features(c))).alias("b"))
+    found = texts.select("h", F.transform(learnt, short).alias("c")).filter(F.size("c") > 0).groupBy("h").agg(F.any_value("c").alias("c"))
+    each = found.select((F.pmod("h", F.lit(3)) == 0).alias("test"), F.explode("c").alias("c")).groupBy("test", "c.k", "c.y", "c.b").agg(F.count(F.lit(1)).alias("w"))
+    groups = materialize(each, "candidates")
+    n, ones = groups.agg(F.coalesce(F.sum("w"), F.lit(0)), F.coalesce(F.sum(F.col("w") * F.col("y")), F.lit(0))).first()
+    if not ones:
         return 0.0, [], dict.fromkeys(ADDED, 1.0)
-    test = np.array([r[1] % 3 == 0 for r in rows])
-    base, trees = boosting.fit(x[~test], y[~test], 24, 3, least=max(2, min(20, len(rows) // 50)))
-    p = 1 / (1 + np.exp(-(base + sum(boosting.predict(t, x) for t in trees))))
-    return base, trees, {ADDED[0]: 1.0} | {k: threshold(p[test & (kinds == k)], y[test & (kinds == k)]) for k in ADDED[1:]}
+    base, trees = boosting.fit_groups(groups.filter("NOT test"), [len(c) + 1 for c in CUTS], 24, 3, least=max(2, min(20, n // 50)))
+
+    def scores(b, y, w, k):
+        step = np.clip(np.floor(boosting.margins(base, trees, b) * STEPS), -MOST, MOST - 1).astype(np.int64) + MOST
+        return np.bincount((k * 2 + y) * 2 * MOST + step, w, 8 * MOST).astype(np.int64)
+
+    wrong_right = boosting.sums(groups.filter("test"), scores, 8 * MOST).reshape(2, 2, 2 * MOST)
+    return base, [boosting.with_cuts(t, CUTS) for t in trees], {ADDED[0]: 1.0} | {kind: threshold(*wrong_right[int(kind == ADDED[1])]) for kind in ADDED[1:]}
+
+
+#: Log-odds are counted in so many steps a unit, up to MOST steps from zero.
+STEPS, MOST = 64, 2048
 
 
-def threshold(p: np.ndarray, y: np.ndarray, precision: float = PRECISION) -> float:
-    """The least score from which on that share of the candidates is right; above 1 if there is none."""
-    order = np.argsort(-p, kind="stable")
-    right = np.cumsum(y[order]) / np.arange(1, len(p) + 1)
-    last = np.append(p[order][1:] != p[order][:-1], True)[: len(p)]
-    ok = np.flatnonzero((right >= precision) & last)
-    return float(p[order][ok[-1]]) - 1e-9 if len(ok) else 2.0
+def threshold(wrong: np.ndarray, right: np.ndarray, precision: float = PRECISION) -> float:
+    """The least score from which on that share of the candidates, counted by steps of log-odds, is right; above 1 if there is none."""
+    good, every = np.cumsum(right[::-1]), np.cumsum((wrong + right)[::-1])
+    ok = np.flatnonzero((good >= precision * every) & ((wrong + right)[::-1] > 0))
+    return float(1 / (1 + np.exp(-(MOST - 1 - ok[-1]) / STEPS))) - 1e-12 if len(ok) else 2.0
 
 
 def selected(model: Model, rich: str) -> Column:
-    """Of candidates (with sure and features f) what the recogniser knows, whether or not its kind was in the sample, and what scores enough; a model without trees and limits above 1 selects nothing."""
+    """Of candidates (with sure and features f) what the recogniser knows, whether or not its kind was learnt, and what scores enough; a model without trees and limits above 1 selects nothing."""
     base, trees, limits = model
     if not trees:
         test = "c.sure" if min(limits.values()) <= 1 else "false"

@@ -126,3 +126,38 @@ def test_rare_secrets_are_found_outside_the_sample(spark):
     for model in (pii.train(common), pii.train(spark.createDataFrame(rare[2:], "doc_id long, text string"))):
         got = {r.doc_id: r.text for r in pii.redact(docs, model).collect()}
         assert [got[k] for k, _ in rare] == want
+
+
+def test_trees_learn_from_every_candidate(spark):
+    """Sixty phone numbers among 36,000 texts of one candidate each: the model's odds are those of all texts that trees are grown on."""
+    import math
+
+    from pyspark.sql import functions as F
+
+    i = F.col("id")
+    text = F.when(i % 600 == 0, F.format_string("some words +1 (%d) 555-%d and", i % 700 + 200, i % 9000 + 1000)).otherwise(F.format_string("order %d 01 02 came", i))
+    docs = spark.range(36_000).select(i.alias("doc_id"), text.alias("text"))
+    model = pii.train(docs)
+    n, ones = docs.filter("pmod(xxhash64(text), 3) <> 0").agg(F.count("text"), F.count_if(F.col("text").startswith("some"))).first()
+    assert n > 20_000 and math.isclose(model[0], math.log(ones / (n - ones)), rel_tol=1e-9)
+    out = pii.redact(spark.createDataFrame([(1, "reach me: (201) 555-1001."), (2, "order 12 01 02 came")], "doc_id long, text string"), model)
+    assert {r.doc_id: r.text for r in out.collect()} == {1: "reach me: [NUMBER].", 2: "order 12 01 02 came"}
+
+
+def test_passes_over_parts_grow_the_trees_of_the_whole(spark):
+    import numpy as np
+
+    from keystrata.llm import boosting
+
+    r = np.random.default_rng(5)
+    b = r.integers(0, [6, 4, 2], (800, 3))
+    y = ((b[:, 0] > 2) ^ (b[:, 2] > 0)).astype(int)
+    w = r.integers(1, 9, 800)
+    groups = spark.createDataFrame([(x.tolist(), int(u), int(v), 0) for x, u, v in zip(b, y, w)], "b array<int>, y int, w long, k int")
+    base, trees = boosting.fit_groups(groups.repartition(5), [6, 4, 2], 3, 3)
+    assert (base, trees) == boosting.fit_groups(groups.coalesce(1), [6, 4, 2], 3, 3)
+    x = np.repeat(b, w, axis=0).astype(float)
+    want_base, want = boosting.fit(x, np.repeat(y, w).astype(float), 3, 3)
+    assert np.isclose(base, want_base)
+    got = boosting.margins(base, trees, b.astype(float))
+    assert np.allclose(got, boosting.margins(want_base, want, b.astype(float)), atol=1e-4) and ((got > 0) == y).all()
