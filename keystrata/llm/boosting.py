@@ -7,11 +7,10 @@ most the threshold. Training is deterministic: thresholds are quantiles, ties ta
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keystrata.sources.session import ship
+from keystrata.sources.scratch import discard, materialize
 
 Tree = float | tuple
 
@@ -77,21 +76,26 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int, depth: int, rate: float = 0.3
 
 #: Gradients are summed as whole multiples of 1 / UNIT, so that sums do not depend on their order.
 UNIT = 1 << 24
+#: Rows that are worth a task of their own: a pass over fewer is one task without a shuffle.
+TASK = 1 << 16
 
 
-def sums(groups: DataFrame, part, size: int) -> np.ndarray:
-    """The sum over groups (b, y, w; and k) of what part(bins, y, w, k) gives of a batch, a vector of `size` whole numbers; a row a task reaches the driver."""
-    ship(groups.sparkSession)
+def gradients(rows: DataFrame) -> DataFrame:
+    """rows (b, y, w and the log-odds m so far) with first and second derivatives g and h of their loss, in UNITs."""
+    whole = lambda x: F.col("w") * F.rint(x * UNIT).cast("long")
+    q = F.col("q")
+    return rows.withColumn("q", sigmoid(F.col("m"))).select("b", "y", "w", "m", whole(q - F.col("y")).alias("g"), whole(q * (1 - q)).alias("h"))
 
-    def run(batches):
-        total = np.zeros(size, np.int64)
-        for x in batches:
-            if x.num_rows:
-                b = x.column("b").flatten().to_numpy().reshape(x.num_rows, -1)
-                total += part(b, *(x.column(c).to_numpy() for c in ("y", "w", "k")))
-        yield pa.RecordBatch.from_pydict({"v": pa.array([total], pa.list_(pa.int64()))})
 
-    return sum((np.array(r.v, np.int64) for r in groups.select("b", "y", "w", "k").mapInArrow(run, "v array<bigint>").collect()), np.zeros(size, np.int64))
+def sums(rows: DataFrame, nodes: Tree, first: int, width: int, sizes: list[int]) -> np.ndarray:
+    """w, g and h of rows summed by node (a leaf of nodes is a node's number; `width` of them from `first` on), feature and bin: no more sums than there are bins of nodes reach the driver."""
+    at = np.concatenate([[0], np.cumsum(sizes)])
+    each = rows.select((F.expr(sql(nodes, "b")).cast("int") - first).alias("node"), "b", "w", "g", "h").filter("node >= 0")
+    bins = each.select("node", "w", "g", "h", F.posexplode("b").alias("feature", "bin")).groupBy("node", "feature", "bin")
+    out = np.zeros((3, width, at[-1]), np.int64)
+    for r in bins.agg(*(F.sum(x).alias(x) for x in "wgh")).collect():
+        out[:, r.node, at[r.feature] + r.bin] = r.w, r.g, r.h
+    return out
 
 
 def margins(base: float, trees: list[Tree], x: np.ndarray) -> np.ndarray:
@@ -102,16 +106,22 @@ def margins(base: float, trees: list[Tree], x: np.ndarray) -> np.ndarray:
 
 
 def fit_groups(groups: DataFrame, sizes: list[int], rounds: int, depth: int, rate: float = 0.3, least: int = 20, l2: float = 1.0) -> tuple[float, list[Tree]]:
-    """As fit(), from every row of a table of any size: groups has bins b (array<int>), label y, weight w and k, feature j has sizes[j] bins.
+    """As fit(), from every row of a table of any size: groups has bins b (array<int>), label y and weight w, feature j has sizes[j] bins.
 
-    Each level of a tree is one pass that sums gradients by node, feature and bin where the rows lie. Thresholds
-    of the trees are bins.
+    Each tree begins with a table of the log-odds and gradients after those before; each of its levels is one pass
+    that sums gradients by node, feature and bin. All are native expressions, and a pass evaluates one tree however
+    many there are. Thresholds of the trees are bins.
     """
     at = np.concatenate([[0], np.cumsum(sizes)])
-    n, ones = sums(groups, lambda b, y, w, k: np.array([w.sum(), (w * y).sum()]), 2)
+    n, ones, count = groups.agg(F.coalesce(F.sum("w"), F.lit(0)), F.coalesce(F.sum(F.col("w") * F.col("y")), F.lit(0)), F.count(F.lit(1))).first()
+    tasks = max(1, -(-count // TASK))
     p = min(max(ones / n if n else 0.5, 1e-3), 1 - 1e-3)
     base, trees = float(np.log(p / (1 - p))), []
+    rows, old = groups.select("b", "y", "w", F.lit(base).alias("m")).coalesce(tasks), None
     for _ in range(rounds if n else 0):
+        here = materialize(gradients(rows), "gradients").coalesce(tasks)
+        if old:
+            discard(old)
         splits: dict[int, tuple[int, int]] = {}  # node i has children 2i + 1 and 2i + 2
         value: dict[int, float] = {}
         for level in range(depth):
@@ -119,42 +129,31 @@ def fit_groups(groups: DataFrame, sizes: list[int], rounds: int, depth: int, rat
             if level and not any((i - 1) // 2 in splits for i in range(first, first + width)):
                 break
 
-            def part(b, y, w, k, splits=dict(splits), first=first, width=width, trees=tuple(trees)):
-                q = 1 / (1 + np.exp(-margins(base, trees, b)))
-                each = [w, w * np.rint((q - y) * UNIT), w * np.rint(q * (1 - q) * UNIT)]
-                node = np.zeros(len(b), np.int64)
-                for i, (j, cut) in splits.items():  # parents first
-                    node = np.where(node == i, 2 * i + 1 + (b[:, j] > cut), node)
-                node -= first
-                here = (node >= 0) & (node < width)
-                out = np.zeros((3, width, at[-1]), np.int64)
-                for j, s in enumerate(sizes):
-                    place = node[here] * s + b[here, j]
-                    for v, x in enumerate(each):
-                        out[v, :, at[j] : at[j + 1]] = np.bincount(place, x[here], width * s).reshape(width, s).astype(np.int64)
-                return out.ravel()
-
-            got = sums(groups, part, 3 * width * at[-1]).reshape(3, width, at[-1])
+            nodes = lambda i: (*splits[i], nodes(2 * i + 1), nodes(2 * i + 2)) if i in splits else i  # noqa: B023, E731
+            got = sums(here, nodes(0), first, width, sizes)
             for i in range(width):
                 counts, g, h = got[0, i], got[1, i] / UNIT, got[2, i] / UNIT
-                rows, gs, hs = counts[: sizes[0]].sum(), g[: sizes[0]].sum(), h[: sizes[0]].sum()
-                if not rows:
+                all_, gs, hs = counts[: sizes[0]].sum(), g[: sizes[0]].sum(), h[: sizes[0]].sum()
+                if not all_:
                     continue
                 value[first + i] = float(-gs / (hs + l2))
                 best, gain = None, 1e-6
                 for j, s in enumerate(sizes):
                     c, gl, hl = (np.cumsum(z[at[j] : at[j + 1]])[:-1] for z in (counts, g, h))
                     score = gl**2 / (hl + l2) + (gs - gl) ** 2 / (hs - hl + l2) - gs**2 / (hs + l2)
-                    score[(c < least) | (rows - c < least)] = -1
+                    score[(c < least) | (all_ - c < least)] = -1
                     b = int(score.argmax())
                     if score[b] > gain:
                         best, gain = (j, b), float(score[b])
                         ends = float(-gl[b] / (hl[b] + l2)), float(-(gs - gl[b]) / (hs - hl[b] + l2))
-                if best and rows >= 2 * least:
+                if best and all_ >= 2 * least:
                     splits[first + i] = best
                     value[2 * (first + i) + 1], value[2 * (first + i) + 2] = ends
         nested = lambda i: (*splits[i], nested(2 * i + 1), nested(2 * i + 2)) if i in splits else value[i]  # noqa: B023, E731
         trees.append(scaled(nested(0), rate))
+        rows, old = here.select("b", "y", "w", F.expr(f"m + {sql(trees[-1], 'b')}").alias("m")), here
+    if old:
+        discard(old)
     return base, trees
 
 
@@ -175,5 +174,10 @@ def sql(tree: Tree, features: str) -> str:
     return f"CASE WHEN {features}[{j}] <= {float(t)!r}D THEN {sql(left, features)} ELSE {sql(right, features)} END"
 
 
+def log_odds(base: float, trees: list[Tree], features: str) -> str:
+    """The log-odds of an array of features, as SQL."""
+    return " + ".join([f"{float(base)!r}D", *(sql(t, features) for t in trees)])
+
+
 def sigmoid(margin: Column) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-margin))

@@ -15,7 +15,7 @@ generalise to the same data written otherwise; that key words stand near, and a
 both sides see. Assignments are what their pattern says, so they are always added and never learnt from.
 Training reads every candidate of every text, equal texts once: trees are grown on two thirds of the texts, thresholds
 calibrated on the others. Candidates become bins of their features and are counted; each level of a tree is a pass that sums
-gradients where the counts lie (numpy over Arrow), and nothing that grows with the table reaches the driver.
+gradients by node and bin, an aggregate of native expressions, and nothing that grows with the table reaches the driver.
 
 Matches come from regexp_extract_all, their places from the lengths of what split() leaves between
 them, added up in blocks. The expressions are the published ones with possessive quantifiers and a look-behind,
@@ -171,11 +171,10 @@ def train(docs: DataFrame, text_col: str = "text") -> Model:
         return 0.0, [], dict.fromkeys(ADDED, 1.0)
     base, trees = boosting.fit_groups(groups.filter("NOT test"), [len(c) + 1 for c in CUTS], 24, 3, least=max(2, min(20, n // 50)))
 
-    def scores(b, y, w, k):
-        step = np.clip(np.floor(boosting.margins(base, trees, b) * STEPS), -MOST, MOST - 1).astype(np.int64) + MOST
-        return np.bincount((k * 2 + y) * 2 * MOST + step, w, 8 * MOST).astype(np.int64)
-
-    wrong_right = boosting.sums(groups.filter("test"), scores, 8 * MOST).reshape(2, 2, 2 * MOST)
+    step = F.least(F.greatest(F.floor(F.expr(boosting.log_odds(base, trees, "b")) * STEPS), F.lit(-MOST)), F.lit(MOST - 1)) + MOST
+    wrong_right = np.zeros((2, 2, 2 * MOST), np.int64)
+    for r in groups.filter("test").groupBy("k", "y", step.cast("int").alias("step")).agg(F.sum("w").alias("w")).collect():
+        wrong_right[r.k, r.y, r.step] = r.w
     return base, [boosting.with_cuts(t, CUTS) for t in trees], {ADDED[0]: 1.0} | {kind: threshold(*wrong_right[int(kind == ADDED[1])]) for kind in ADDED[1:]}
 
 
@@ -196,7 +195,7 @@ def selected(model: Model, rich: str) -> Column:
     if not trees:
         test = "c.sure" if min(limits.values()) <= 1 else "false"
     else:
-        score = " + ".join([repr(base) + "D", *(boosting.sql(t, "c.f") for t in trees)])
+        score = boosting.log_odds(base, trees, "c.f")
         limit = " ".join(f"WHEN '{k}' THEN {v!r}D" for k, v in limits.items())
         test = f"c.sure OR 1 / (1 + exp(-({score}))) >= CASE c.kind {limit} END"
     return F.expr(f"transform(filter(`{rich}`, c -> {test}), c -> named_struct('kind', c.kind, 'start', c.start, 'end', c.end))")
